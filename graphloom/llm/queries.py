@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import linededup, mixing, simhash
+from graphloom.llm import bpe, linededup, mixing, simhash, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,21 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = tokenfile.encode_to_files(_table(spark, sf_dir, "documents"), word_bpe(), end_id=1)
+    return tokenfile.read_files(spark, folder, manifest)
+
+
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_round_trip(_table(spark, sf_dir, "documents"), word_bpe())
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.deduped_documents(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -28,6 +43,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
+    "op2_token_files": op2_token_files,
+    "op4_bpe_round_trip": op4_bpe_round_trip,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
 }

@@ -190,7 +190,7 @@ def _coder(model, with_ids: bool):
         key = hash(model.value)
         if key not in _encoders:
             bpe = PairIndexBpe(model.value)
-            _encoders[key] = (bpe, PieceMemo(bpe.encode_pieces))
+            _encoders[key] = (bpe, PieceMemo(bpe.encode_pieces, tuple(m.lower().encode() for m in bpe.special)))
         bpe, memo = _encoders[key]
         rows = ((d, t or b"") for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()))
         for chunk in chunks(rows):

@@ -1,47 +1,127 @@
 """Encoding of texts piece by piece.
 
-ASCII white space is a hard border of the word-level tokenizers handled here
-(it is dropped, and no rule looks across it), so a text's ids are those of its
-white-space-separated pieces in a row. Pieces repeat, so each worker encodes a
-piece once and remembers it; the memory is bounded and emptied when it is full.
+ASCII white space is a hard border of the word-level, lower-casing tokenizers
+handled here (it is dropped, and no rule looks across it), so a text's ids are
+those of its white-space-separated pieces in a row. Pieces repeat, so each
+worker encodes a piece once and remembers it, in two generations of bounded
+size: when the young one is full it becomes the old one, whose members come
+back when they are met again.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
-#: Remembered pieces; longer ones are encoded each time they occur.
-MEMO_PIECES = 600_000
+#: Remembered pieces of a generation; longer pieces are encoded each time they occur.
+MEMO_PIECES = 300_000
 MEMO_BYTES = 64
 #: Bytes of text that are taken together.
 CHUNK_BYTES = 16 << 20
 
 
+def _core(piece: bytes) -> bytes | None:
+    """The word of a piece that is a letters-only word with a comma or a full stop, which are encoded one after the other."""
+    core = piece[:-1]
+    if core and piece[-1] in b",.":
+        if core.isalpha():
+            return core
+        if not core.isascii() and unicodedata.normalize("NFC", core.decode("utf-8", "replace")).lower().isalpha():
+            return core
+    return None
+
+
+class _Known(dict):
+    """Pieces with their ids; asks its memo for a piece that it lacks."""
+
+    __slots__ = ("memo",)
+
+    def __missing__(self, piece: bytes) -> bytes:
+        return self.memo._one(piece)
+
+
 class PieceMemo:
-    """``encode`` maps a list of distinct pieces (UTF-8) to their ids as bytes."""
+    """``encode`` maps a list of distinct pieces (UTF-8) to their ids as bytes, ``single`` does
+    so for one piece; with it a text is encoded in one go, else a chunk's new pieces come together.
+
+    ``marks``: special tokens in lower case. A text whose lower case holds none
+    of them, and no mark that could compose with a letter (U+0300 to U+033F), is
+    lower-cased at once, as the tokenizer would do it later, so that spellings
+    share a piece.
+    """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], limit: int = MEMO_PIECES):
-        self.encode, self.limit, self.known = encode, limit, {}
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], marks: tuple[bytes, ...] = (), limit: int = MEMO_PIECES, single: Callable[[bytes], bytes] | None = None):
+        self.encode, self.marks, self.limit, self.single = encode, marks, limit, single
+        self.young = self._new()
+        self.old: dict[bytes, bytes] = {}
+
+    def _new(self) -> dict[bytes, bytes]:
+        made = _Known() if self.single else {}
+        if self.single:
+            made.memo = self
+        return made
+
+    def _one(self, piece: bytes) -> bytes:
+        ids = self.old.get(piece) if self.old else None
+        if ids is None:
+            core = _core(piece)
+            ids = self.single(piece) if core is None else self.young[core] + self.young[piece[-1:]]
+        if len(piece) <= MEMO_BYTES:
+            self.young[piece] = ids
+        return ids
+
+    def _folded(self, text: bytes) -> bytes:
+        low = text.lower()
+        return text if b"\xcc" in text or any(m in low for m in self.marks) else low
+
+    def _learn(self, missing: set[bytes]) -> None:
+        young, old = self.young, self.old
+        signed, new = [], set()
+        for w in missing:
+            if w in old:
+                young[w] = old[w]
+                continue
+            core = _core(w)
+            if core is not None:
+                signed.append((w, core))
+                if core not in young:
+                    if core in old:
+                        young[core] = old[core]
+                    else:
+                        new.add(core)
+            else:
+                new.add(w)
+        if signed:
+            new.update(s for s in (b",", b".") if s not in young)
+        found = list(new)
+        young.update(zip(found, self.encode(found)))
+        for w, core in signed:
+            young[w] = young[core] + young[w[-1:]]
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text, in order."""
-        known = self.known
+        if self.single:
+            for t in texts:
+                if len(self.young) > self.limit:
+                    self.old = dict(self.young)
+                    self.young = self._new()
+                yield b"".join(map(self.young.__getitem__, self._folded(t).split()))
+            return
+        texts = [self._folded(t) for t in texts]
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        young = self.young
         missing: set[bytes] = set()
         for t in texts:
-            missing.update(set(t.split()).difference(known))
-        if len(known) + len(missing) > self.limit:
-            known.clear()
-            missing = set()
-            for t in texts:
-                missing.update(t.split())
-        found = list(missing)
-        known.update(zip(found, self.encode(found)))
-        get = known.__getitem__
+            missing.update(set(t.split()).difference(young))
+        self._learn(missing)
+        get = young.__getitem__
         for t in texts:
             yield b"".join(map(get, t.split()))
-        for w in found:
+        for w in missing:
             if len(w) > MEMO_BYTES:
-                del known[w]
+                young.pop(w, None)
+                young.pop(w[:-1], None)
 
 
 def chunks(rows: Iterable[tuple], size: int = CHUNK_BYTES) -> Iterator[list[tuple]]:

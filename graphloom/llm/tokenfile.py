@@ -19,10 +19,12 @@ of its own attempt; only files listed in the returned manifest count.
 from __future__ import annotations
 
 import io
+import json
 import os
 import struct
+import unicodedata
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import BinaryIO
 
 import numpy as np
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.llm.bpe import byte_symbols
 from graphloom.llm.common import pick, small_batches
 from graphloom.llm.pieces import PieceMemo, chunks
 from graphloom.storage import materialize, scratch_path
@@ -152,24 +155,31 @@ def _open(folder: str, name: str, mode: str):
     return store.open_input_file(f"{base}/{name}")
 
 
-def library_encoder(model: str):
-    """Encodes distinct pieces with the tokenizers library; ``model`` is the JSON text of a tokenizer."""
+def special_marks(model: str) -> tuple[bytes, ...]:
+    return tuple(x["content"].lower().encode() for x in json.loads(model).get("added_tokens") or [])
+
+
+def library_encoder(model: str) -> Callable[[bytes], bytes]:
+    """Encodes a piece with the tokenizers library; ``model`` is the JSON text of a tokenizer.
+
+    A piece of normalized lower-case letters is one word that normalizer and
+    pre-tokenizer leave as it is, so its bytes go to the library's BPE model directly.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(model)
-
-    def encode(pieces: list[bytes]) -> list[bytes]:
-        out = []
-        for i in range(0, len(pieces), 20_000):
-            made = tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces[i : i + 20_000]], add_special_tokens=False)
-            sizes = [len(x) for x in made]
-            flat = np.concatenate([np.array(x.ids, "<u4") for x in made]).tobytes() if made else b""
-            at = 0
-            for n in sizes:
-                out.append(flat[at : at + 4 * n])
-                at += 4 * n
-        return out
+    tokenize, letters = tokenizer.model.tokenize, byte_symbols()
+
+    def encode(piece: bytes) -> bytes:
+        if piece.isalpha() and piece.islower():
+            return struct.pack(f"<{len(made := tokenize(piece.decode()))}I", *[x.id for x in made])
+        text = piece.decode("utf-8", "replace")
+        if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+            made = tokenize("".join(map(letters.__getitem__, piece)))
+            return struct.pack(f"<{len(made)}I", *[x.id for x in made])
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     return encode
 
@@ -181,7 +191,7 @@ def _writer(model, folder: str, end_id: int, frame_ids: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memos.get(("library", hash(model.value)))
         if memo is None:
-            memo = _memos[("library", hash(model.value))] = PieceMemo(library_encoder(model.value))
+            memo = _memos[("library", hash(model.value))] = PieceMemo(None, special_marks(model.value), single=library_encoder(model.value))
         end = np.array([end_id], "<u4").tobytes()
         rows = ((d, t or b"") for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()))
 
@@ -219,8 +229,6 @@ def encode_to_files(docs: DataFrame, model_path: str, *, end_id: int = 1, frame_
     small_batches(spark)
     with open(model_path, encoding="utf-8") as f:
         text = f.read()
-    import json
-
     vocab = json.loads(text)["model"]["vocab"]
     width = 2 if max([end_id, *vocab.values()]) < 60_000 else 4
     folder = folder or scratch_path(spark, "tokens")

@@ -26,8 +26,12 @@ def n_words(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text, in order; empty for null."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), WHITESPACE, " " * len(WHITESPACE))
-    return F.filter(F.split(spaced, " ", -1), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), "")
+
+
+def count_of(text: Column, chars: str) -> Column:
+    """How many characters of a text belong to a regular-expression class."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))
 
 
 def pick(docs: DataFrame, *names: str) -> DataFrame:

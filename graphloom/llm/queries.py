@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, linededup, mixing, quality_rules, simhash, tokenfile, topk
+from graphloom.llm import bpe, language, linededup, mixing, quality_rules, simhash, tokenfile, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,15 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(_table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "bits_per_char")
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"))
 
@@ -55,6 +64,8 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_toxicity": op5_toxicity,
+    "op6_language_id": op6_language_id,
     "op7_exact_topk": op7_exact_topk,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, language, linededup, mixing, quality_rules, simhash, tokenfile, topk, toxicity
+from graphloom.llm import bpe, kneser_ney, language, linededup, mixing, quality_rules, simhash, tokenfile, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = kneser_ney.quality_by_perplexity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "n_predicted", "perplexity", "low", "high", "kept")
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_token_files": op2_token_files,
@@ -69,6 +74,7 @@ QUERIES = {
     "op7_exact_topk": op7_exact_topk,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 
 _STRIP = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$'"

@@ -7,8 +7,8 @@ Counts are tables keyed by (language, n-gram): raw counts for the highest order
 and for n-grams at a word's begin, numbers of distinct left neighbours for the
 rest, with three discounts per order (Chen and Goodman 1998).
 
-Scoring never ships the model to the documents. Each task packs its texts into
-chunks in shared storage and asks for the distinct n-grams of a chunk. The
+Scoring never ships the model to the documents. Each task packs its texts, as
+word numbers, into chunks in shared storage and asks for the distinct n-grams of a chunk. The
 distinct questions of all chunks are answered order by order through joins of
 the sharded count tables, and the answers go back by chunk, so all that moves
 grows with the distinct n-grams of the chunks. A document is kept if its
@@ -23,6 +23,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,9 @@ SHORT = 2000
 #: Trusted doc_ids up to this number are broadcast; beyond it they are joined by key.
 MAX_BROADCAST_IDS = 1_000_000
 _GRAMS = "lang string, gram string, n long"
-_ASKED = "chunk string, folder string, lang string, grams array<string>"
+_ASKED = "chunk long, lang string, grams array<string>"
+#: Bits of a character's number in a packed n-gram.
+_BITS = 12
 
 
 def word_grams(word: str, order: int = ORDER) -> list[str]:
@@ -140,77 +143,159 @@ class KneserNey:
         return asked.select("lang", "gram").join(found, ["lang", "gram"]).select("lang", "gram", F.log("p").alias("logp"))
 
 
+def packed_grams(words: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The n-grams of words as integers: (keys at every predicted character, the first of each word, the
+    characters by number). None for alphabets that don't fit; ``word_grams`` does for these."""
+    if order * _BITS > 63:
+        return None
+    s = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    chars, numbers = np.unique(s, return_inverse=True)
+    if len(chars) >= 1 << _BITS or chars[0] == 0:
+        return None
+    numbers = numbers.astype(np.int64) + 1
+    spaces = np.flatnonzero(s == 32)
+    begins = spaces[:-1] + 1
+    offset = np.arange(1, len(s)) - np.repeat(spaces[:-1], np.diff(spaces))
+    keys = numbers[1:].copy()
+    for j in range(1, order):
+        reach = np.flatnonzero(offset >= j)
+        keys[reach] |= numbers[reach + 1 - j] << (_BITS * j)
+    return keys, begins - 1, chars
+
+
+def unpacked(keys: np.ndarray, chars: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, list[str]]:
+    """The keys, by length, with their n-grams as text."""
+    sizes = sum((keys >> (_BITS * j) > 0).astype(np.int64) for j in range(order))
+    out, texts = [], []
+    for size in range(1, order + 1):
+        own = keys[sizes == size]
+        if len(own):
+            cols = [chars[((own >> (_BITS * (size - 1 - p))) & ((1 << _BITS) - 1)) - 1] for p in range(size)]
+            texts += np.ascontiguousarray(np.stack(cols, 1).astype("<u4")).view(f"<U{size}").ravel().tolist()
+            out.append(own)
+    return np.concatenate(out) if out else keys, texts
+
+
+def repacked(grams: list[str], chars: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """The keys of n-grams given as text."""
+    points = np.array(grams, f"<U{order}").view("<u4").reshape(len(grams), order).astype(np.int64)
+    sizes = (points > 0).sum(axis=1)
+    numbers = np.searchsorted(chars, points) + 1
+    keys = np.zeros(len(grams), np.int64)
+    for p in range(order):
+        has = sizes > p
+        keys[has] |= numbers[has, p] << (_BITS * (sizes[has] - 1 - p))
+    return keys
+
+
+def distinct_grams(words: list[str], order: int = ORDER) -> list[str]:
+    """The distinct n-grams of distinct words, in order."""
+    packed = packed_grams(words, order) if words else None
+    if packed is None:
+        return sorted({g for w in words for g in word_grams(w, order)})
+    return sorted(unpacked(np.unique(packed[0]), packed[2], order)[1])
+
+
+def word_scores(words: list[str], grams: list[str], logp: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """Log probability of each word."""
+    if not words:
+        return np.empty(0)
+    packed = packed_grams(words, order)
+    if packed is None:
+        known = dict(zip(grams, logp.tolist()))
+        return np.array([math.fsum([known[g] for g in word_grams(w, order)]) for w in words])
+    keys, begins, chars = packed
+    held = repacked(grams, chars, order)
+    by = np.argsort(held)
+    return np.add.reduceat(logp[by][np.searchsorted(held[by], keys)], begins)
+
+
+class _Numbers(dict):
+    """word -> its number in the chunk, in the order of first use."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def _packer(folder: str, order: int):
-    """Writes the texts of each chunk to shared storage and asks for their n-grams."""
+    """Writes the word numbers of each chunk to shared storage and asks for its n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((d, x, t or "") for b in batches for d, x, t in zip(*(b.column(i).to_pylist() for i in range(3))))
         for part in chunks(rows, CHUNK):
-            name = uuid.uuid4().hex
-            table = pa.table({"doc_id": pa.array([r[0] for r in part], pa.int64()), "lang": pa.array([r[1] for r in part], pa.string()), "text": pa.array([r[2] for r in part], pa.large_string())})
-            with _open(folder, name, "w") as out, pa.ipc.new_file(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as sink:
-                sink.write_table(table)
-            by: dict[str | None, set[str]] = {}
-            for _, lang, t in part:
-                by.setdefault(lang, set()).update(t.split())
-            langs = list(by)
-            grams = []
-            for lang in langs:
-                own: set[str] = set()
-                for w in by[lang]:
-                    own.update(word_grams(w, order))
-                grams.append(sorted(own))
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(langs)), pa.array([folder] * len(langs)), pa.array(langs, pa.string()), pa.array(grams, pa.list_(pa.string()))], ["chunk", "folder", "lang", "grams"])
+            name = uuid.uuid4().int >> 65
+            numbers = _Numbers()
+            texts = [np.array(list(map(numbers.__getitem__, t.split())), np.uint32) for _, _, t in part]
+            sizes = np.array(list(map(len, texts)), np.int64)
+            flat = np.concatenate(texts)
+            words = list(numbers)
+            # the bytes of a place stand together: the high ones are mostly zero and take no room
+            planes = np.ascontiguousarray(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+            docs = pa.table({"doc_id": pa.array([r[0] for r in part], pa.int64()), "lang": pa.array([r[1] for r in part], pa.string()), "size": pa.array(sizes)})
+            with _open(folder, f"{name:x}", "w") as out:
+                for table in (docs, pa.table({"words": pa.array(words, pa.string())}), pa.table({"planes": pa.array([planes], pa.large_binary())})):
+                    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as sink:
+                        sink.write_table(table)
+            langs = docs.column("lang").to_pylist()
+            ends = np.cumsum(sizes)
+            asked: dict[str | None, list[str]] = {}
+            for lang in dict.fromkeys(langs):
+                used = np.zeros(len(words), bool)
+                for i in [i for i, x in enumerate(langs) if x == lang]:
+                    used[flat[ends[i] - sizes[i] : ends[i]]] = True
+                asked[lang] = distinct_grams([words[i] for i in np.flatnonzero(used).tolist()], order)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(asked), pa.int64()), pa.array(list(asked), pa.string()), pa.array(list(asked.values()), pa.list_(pa.string()))], ["chunk", "lang", "grams"])
 
     return run
 
 
-def text_score(text: str, logp: dict[str, float], memo: dict[str, float], order: int = ORDER) -> tuple[float, int]:
-    """Sum of log probabilities and number of predicted characters of a text."""
-    total, n = [], 0
-    for w in text.split():
-        if w not in memo:
-            memo[w] = math.fsum([logp[g] for g in word_grams(w, order)])
-        total.append(memo[w])
-        n += len(w) + 1
-    return math.fsum(total), n
-
-
-def _scorer(order: int):
+def _scorer(folder: str, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, folder, langs, grams, values in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4)):
-                known = {}
-                for lang, own, logp in zip(langs, grams.as_py(), values.as_py()):
-                    known[lang] = (dict(zip(own, logp)), {})
-                with _open(folder, name, "r") as source:
-                    table = pa.ipc.open_file(source).read_all()
-                sums, sizes = [], []
-                for lang, text in zip(table.column("lang"), table.column("text")):
-                    found = known.get("" if lang.as_py() is None else f"={lang.as_py()}")
-                    s, n = text_score(text.as_py(), *found, order) if found else (None, 0)
-                    sums.append(s if n else None)
-                    sizes.append(n)
-                yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), table.column("lang").combine_chunks(), pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], ["doc_id", "lang", "logp", "n_predicted"])
+            for name, own_langs, grams, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                with _open(folder, f"{name:x}", "r") as source:
+                    docs, words, planes = (pa.ipc.open_stream(source).read_all() for _ in range(3))
+                words = words.column("words").to_pylist()
+                flat = np.frombuffer(planes.column("planes")[0].as_py(), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+                langs = docs.column("lang").to_pylist()
+                sizes = docs.column("size").to_numpy()
+                ends = np.cumsum(sizes)
+                lengths = np.array(list(map(len, words)), np.int64) + 1
+                sums: list[float | None] = [None] * len(langs)
+                counts = [int(lengths[flat[e - n : e]].sum()) for e, n in zip(ends.tolist(), sizes.tolist())]
+                for lang, asked, logp in zip(own_langs, grams.as_py(), values.as_py()):
+                    mine = [i for i, x in enumerate(langs) if ("" if x is None else f"={x}") == lang and sizes[i]]
+                    used = np.zeros(len(words), bool)
+                    for i in mine:
+                        used[flat[ends[i] - sizes[i] : ends[i]]] = True
+                    at = np.flatnonzero(used)
+                    scores = np.zeros(len(words))
+                    scores[at] = word_scores([words[i] for i in at.tolist()], asked, np.array(logp, np.float64), order)
+                    for i in mine:
+                        sums[i] = float(scores[flat[ends[i] - sizes[i] : ends[i]]].sum())
+                yield pa.RecordBatch.from_arrays([docs.column("doc_id").combine_chunks(), docs.column("lang").combine_chunks(), pa.array(sums, pa.float64()), pa.array(counts, pa.int64())], ["doc_id", "lang", "logp", "n_predicted"])
 
     return run
 
 
 def perplexities(docs: DataFrame, model: KneserNey) -> DataFrame:
     """One row per input row: doc_id, lang, logp, n_predicted and perplexity per predicted character
-    (null without a word, or if the model has no text of the language)."""
+    (null without a word, or if the model has no text of the language).
+
+    Log probabilities travel in single precision.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     folder = scratch_path(spark, "kn-chunks")
     asked = materialize(_keyed(pick(docs, "doc_id", "lang", "text").mapInArrow(_packer(folder, model.order), _ASKED)), "kn-asked")
     one = asked.select("chunk", "lang", F.explode("grams").alias("gram"))
     answers = materialize(model.answer(one.select("lang", "gram").distinct()), "kn-answers")
-    back = one.join(answers, ["lang", "gram"]).groupBy("chunk", "lang").agg(F.collect_list("gram").alias("grams"), F.collect_list("logp").alias("logps"))
-    every = asked.select("chunk", "folder", "lang").join(back, ["chunk", "lang"], "left")
-    ready = every.groupBy("chunk", "folder").agg(F.collect_list(F.struct("lang", "grams", "logps")).alias("own"))
-    known = F.filter("own", lambda x: x["grams"].isNotNull())
-    ready = ready.select("chunk", "folder", F.transform(known, lambda x: x["lang"]).alias("langs"), F.transform(known, lambda x: x["grams"]).alias("grams"), F.transform(known, lambda x: x["logps"]).alias("logps"))
-    scored = ready.mapInArrow(_scorer(model.order), "doc_id long, lang string, logp double, n_predicted long")
+    back = one.join(answers.select("lang", "gram", F.col("logp").cast("float").alias("logp")), ["lang", "gram"]).groupBy("chunk", "lang").agg(F.collect_list(F.struct("gram", "logp")).alias("a"))
+    every = asked.select("chunk", "lang").join(back, ["chunk", "lang"], "left")
+    ready = every.groupBy("chunk").agg(F.filter(F.collect_list(F.struct("lang", F.col("a.gram").alias("grams"), F.col("a.logp").alias("logps"))), lambda x: x["grams"].isNotNull()).alias("own"))
+    ready = ready.select("chunk", F.col("own.lang").alias("langs"), F.col("own.grams").alias("grams"), F.col("own.logps").alias("logps"))
+    scored = ready.mapInArrow(_scorer(folder, model.order), "doc_id long, lang string, logp double, n_predicted long")
     return scored.withColumn("perplexity", F.when(F.col("n_predicted") > 0, F.exp(-F.col("logp") / F.col("n_predicted"))))
 
 

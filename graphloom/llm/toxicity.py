@@ -10,10 +10,10 @@ documents. Examples and texts are vectors of (1 + ln tf) * ln((1 + n) / (1 + df)
 over it (tf is 1 for marked terms), and cosines are taken between these vectors.
 
 The inverted index lists, by term, the examples that hold it in blocks of
-``BLOCK`` consecutive numbers with the block's largest weight. A text scores
-blocks in descending order of its summed block maxima, and stops when they
-fall below its k-th best cosine: the k nearest are exact, ties to the example
-with the smaller number. The votes, weighted by cosine, are smoothed by the
+``BLOCK`` consecutive numbers, with each block's largest weight. A text scores
+the block of its highest summed maxima first, and then only blocks whose summed
+maxima reach the k-th best cosine found there: the k nearest are exact, ties to
+the example with the smaller number. The votes, weighted by cosine, are smoothed by the
 share of toxic examples that hold no term at all, and a logistic curve fitted to
 the examples' own leave-one-out votes turns them into a probability.
 """
@@ -40,8 +40,9 @@ from graphloom.storage import materialize
 MAX_EXAMPLES = 4096
 #: Terms of the vocabulary, at most: those with the highest chi-square.
 MAX_TERMS = 4096
-#: Chi-square that a term must reach, and the contexts in toxic examples that must hold it.
-MIN_CHI2, MIN_CONTEXTS = 16.0, 3
+#: Chi-square that a term must reach (chance passes it about once in ten million), how much more common than in
+#: other examples it must be in toxic ones, and the contexts there that must hold it.
+MIN_CHI2, MIN_RATIO, MIN_CONTEXTS = 28.0, 4.0, 3
 STEMS = (4, 5, 6, 7)
 #: A marked term is in one of this many words, at least.
 DENSE = 200
@@ -139,13 +140,13 @@ class NearestExamples:
             for t, w in self.vector(tf).items():
                 lists[t].append((i, w))
         self.blocks = -(-len(vectors) // BLOCK)
+        self.most = np.zeros((len(self.terms), self.blocks))
         self.posts = []
-        for own in lists:
+        for t, own in enumerate(lists):
             numbers = np.array([i for i, _ in own], np.int64)
-            weights = np.array([w for _, w in own])
-            blocks, begins = np.unique(numbers // BLOCK, return_index=True)
-            most = np.maximum.reduceat(weights, begins) if len(begins) else np.empty(0)
-            self.posts.append((numbers, weights, blocks, np.append(begins, len(numbers)), most))
+            weights = np.array([w for _, w in own], np.float64)
+            np.maximum.at(self.most[t], numbers // BLOCK, weights)
+            self.posts.append((numbers, weights))
         return self
 
     def vector(self, tf: dict[int, int]) -> dict[int, float]:
@@ -153,33 +154,45 @@ class NearestExamples:
         norm = math.sqrt(math.fsum(x * x for x in raw.values()))
         return {t: x / norm for t, x in raw.items()} if norm else {}
 
+    def _scored(self, q: dict[int, float], blocks: np.ndarray) -> np.ndarray:
+        """Cosines of the examples of some blocks; others are 0."""
+        out = np.zeros(self.blocks * BLOCK)
+        for t, w in q.items():
+            numbers, weights = self.posts[t]
+            if len(blocks) == 1:
+                i, j = np.searchsorted(numbers, (blocks[0] * BLOCK, (blocks[0] + 1) * BLOCK))
+                out[numbers[i:j]] += w * weights[i:j]
+            else:
+                out[numbers] += w * weights
+        if len(blocks) < self.blocks:
+            inside = np.zeros(self.blocks, bool)
+            inside[blocks] = True
+            out[~np.repeat(inside, BLOCK)] = 0
+        return np.minimum(out, 1.0)
+
     def nearest(self, tf: dict[int, int], skip: int = -1) -> list[tuple[float, int]]:
-        """The k highest (cosine, example), zero cosines left out."""
+        """The k highest (cosine, example), zero cosines left out.
+
+        The block of the highest bound is scored first; its k-th best tells which others can matter.
+        """
         q = self.vector(tf)
         if not q:
             return []
-        bound = np.zeros(self.blocks)
-        for t, w in q.items():
-            _, _, blocks, _, most = self.posts[t]
-            bound[blocks] += w * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == self.k and bound[b] * (1 + 1e-12) < best[-1][0]:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in q.items():
-                numbers, weights, blocks, begins, _ = self.posts[t]
-                at = int(np.searchsorted(blocks, b))
-                if at < len(blocks) and blocks[at] == b:
-                    i, j = begins[at], begins[at + 1]
-                    score[numbers[i:j] - b * BLOCK] += w * weights[i:j]
-            if 0 <= skip - b * BLOCK < BLOCK:
-                score[skip - b * BLOCK] = 0
-            hit = np.flatnonzero(score > 0)
-            best += zip(np.minimum(score[hit], 1.0).tolist(), (hit + b * BLOCK).tolist())
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[self.k :]
-        return best
+        bound = np.array(list(q.values())) @ self.most[list(q)] * (1 + 1e-12)
+        first = int(bound.argmax())
+        scores = self._scored(q, np.array([first]))
+        if skip >= 0:
+            scores[skip] = 0
+        part = scores[first * BLOCK : (first + 1) * BLOCK]
+        kth = -np.partition(-part, self.k - 1)[self.k - 1] if self.k <= BLOCK else 0.0
+        rest = np.flatnonzero((bound > 0) & (bound >= kth))
+        if len(rest) > 1 or rest[0] != first:
+            scores = self._scored(q, rest)
+            if skip >= 0:
+                scores[skip] = 0
+        hit = np.flatnonzero(scores)
+        best = hit[np.lexsort((hit, -scores[hit]))[: self.k]]
+        return list(zip(scores[best].tolist(), best.tolist()))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         own = [(c * float(self.weights[self.labels[i]]), self.labels[i]) for c, i in near]
@@ -271,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES,
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     c, d = F.lit(float(pos)) - a, F.lit(float(neg)) - b
     chi2 = n * (a * d - b * c) * (a * d - b * c) / F.greatest((a + c) * (b + d) * (a + b) * (c + d), F.lit(1e-9))
-    useful = by.filter((F.col("term") != "") & (F.col("contexts") >= MIN_CONTEXTS) & (a * max(neg, 1) > b * max(pos, 1)))
+    useful = by.filter((F.col("term") != "") & (F.col("contexts") >= MIN_CONTEXTS) & (a * max(neg, 1) >= MIN_RATIO * b * max(pos, 1)))
     chosen = useful.withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(max_terms)
     terms = sorted(r.term for r in chosen.select("term").toLocalIterator())
     shared = spark.sparkContext.broadcast(terms)

@@ -56,12 +56,10 @@ def _points(text: str) -> np.ndarray:
 
 def _clean(points: np.ndarray) -> np.ndarray:
     """Letters stay; every run of other characters becomes one space, also at both ends."""
-    points = np.where(letters()[points], points, 32)
+    points = np.concatenate(([32], np.where(letters()[points], points, 32), [32])).astype("<u4")
     keep = np.ones(len(points), bool)
     keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
-    points = points[keep]
-    edge = np.array([32], points.dtype)
-    return np.concatenate((edge[: 1 - int(points[:1] == edge)] if len(points) else edge, points, edge[: 1 - int(points[-1:] == edge)] if len(points) else edge[:0]))
+    return points[keep]
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:

@@ -94,7 +94,7 @@ def _posterior(votes: list[str], prior: float, good: list[float], bad: list[floa
     return 1 / (1 + F.exp(-odds))
 
 
-def estimate(patterns: DataFrame, votes: list[str], rounds: int = 20, trust: float = 2.0, tolerance: float = 1e-4) -> tuple[float, list[float], list[float]]:
+def estimate(patterns: DataFrame, votes: list[str], rounds: int = 20, trust: float = 5.0, tolerance: float = 1e-4) -> tuple[float, list[float], list[float]]:
     """The share of good documents and each rule's accuracy on good and on bad ones.
 
     ``patterns``: a row per vote pattern and its number of documents ``n``. It

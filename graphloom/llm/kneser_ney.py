@@ -48,6 +48,10 @@ _GRAMS = "lang string, gram string, n long"
 _ASKED = "chunk long, lang string, grams array<string>"
 #: Bits of a character's number in a packed n-gram.
 _BITS = 12
+#: Words whose n-grams are packed at once.
+_SLICE = 1 << 15
+#: Log probabilities travel as multiples of 2 ** -24, together with the n-gram's place in its question.
+_SCALE, _PLACE = float(1 << 24), 1 << 32
 
 
 def word_grams(word: str, order: int = ORDER) -> list[str]:
@@ -143,71 +147,67 @@ class KneserNey:
         return asked.select("lang", "gram").join(found, ["lang", "gram"]).select("lang", "gram", F.log("p").alias("logp"))
 
 
-def packed_grams(words: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """The n-grams of words as integers: (keys at every predicted character, the first of each word, the
-    characters by number). None for alphabets that don't fit; ``word_grams`` does for these."""
-    if order * _BITS > 63:
-        return None
+def alphabet(words: list[str], order: int = ORDER) -> np.ndarray | None:
+    """The code points of words and the space, in order. None if they are too many to number in a packed n-gram."""
+    seen = {" "}
+    for i in range(0, len(words), _SLICE):
+        seen.update("".join(words[i : i + _SLICE]))
+    fits = len(seen) < 1 << _BITS and order * _BITS <= 63
+    return np.array(sorted(map(ord, seen)), "<u4") if fits else None
+
+
+def packed_grams(words: list[str], chars: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of words as integers, at every predicted character, and the first of each word.
+
+    A character's number is its place in ``chars`` from 1, the predicted one in
+    the lowest bits; longer n-grams are larger.
+    """
     s = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), "<u4")
-    chars, numbers = np.unique(s, return_inverse=True)
-    if len(chars) >= 1 << _BITS or chars[0] == 0:
-        return None
-    numbers = numbers.astype(np.int64) + 1
+    numbers = np.searchsorted(chars, s) + 1
     spaces = np.flatnonzero(s == 32)
-    begins = spaces[:-1] + 1
     offset = np.arange(1, len(s)) - np.repeat(spaces[:-1], np.diff(spaces))
     keys = numbers[1:].copy()
     for j in range(1, order):
         reach = np.flatnonzero(offset >= j)
         keys[reach] |= numbers[reach + 1 - j] << (_BITS * j)
-    return keys, begins - 1, chars
+    return keys, spaces[:-1]
 
 
-def unpacked(keys: np.ndarray, chars: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, list[str]]:
-    """The keys, by length, with their n-grams as text."""
+def unpacked(keys: np.ndarray, chars: np.ndarray, order: int = ORDER) -> list[str]:
+    """The n-grams of keys in ascending order, as text."""
     sizes = sum((keys >> (_BITS * j) > 0).astype(np.int64) for j in range(order))
-    out, texts = [], []
+    texts: list[str] = []
     for size in range(1, order + 1):
         own = keys[sizes == size]
-        if len(own):
-            cols = [chars[((own >> (_BITS * (size - 1 - p))) & ((1 << _BITS) - 1)) - 1] for p in range(size)]
-            texts += np.ascontiguousarray(np.stack(cols, 1).astype("<u4")).view(f"<U{size}").ravel().tolist()
-            out.append(own)
-    return np.concatenate(out) if out else keys, texts
+        points = [chars[((own >> (_BITS * (size - 1 - p))) & ((1 << _BITS) - 1)) - 1] for p in range(size)]
+        texts += map("".join, zip(*[map(chr, x.tolist()) for x in points]))
+    return texts
 
 
-def repacked(grams: list[str], chars: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """The keys of n-grams given as text."""
-    points = np.array(grams, f"<U{order}").view("<u4").reshape(len(grams), order).astype(np.int64)
-    sizes = (points > 0).sum(axis=1)
-    numbers = np.searchsorted(chars, points) + 1
-    keys = np.zeros(len(grams), np.int64)
-    for p in range(order):
-        has = sizes > p
-        keys[has] |= numbers[has, p] << (_BITS * (sizes[has] - 1 - p))
-    return keys
+def distinct_keys(words: list[str], chars: np.ndarray, order: int = ORDER) -> np.ndarray:
+    found = [np.unique(packed_grams(words[i : i + _SLICE], chars, order)[0]) for i in range(0, len(words), _SLICE)]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
 def distinct_grams(words: list[str], order: int = ORDER) -> list[str]:
-    """The distinct n-grams of distinct words, in order."""
-    packed = packed_grams(words, order) if words else None
-    if packed is None:
+    """The distinct n-grams of distinct words, in an order that the words decide."""
+    chars = alphabet(words, order)
+    if chars is None:
         return sorted({g for w in words for g in word_grams(w, order)})
-    return sorted(unpacked(np.unique(packed[0]), packed[2], order)[1])
+    return unpacked(distinct_keys(words, chars, order), chars, order)
 
 
-def word_scores(words: list[str], grams: list[str], logp: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """Log probability of each word."""
-    if not words:
-        return np.empty(0)
-    packed = packed_grams(words, order)
-    if packed is None:
-        known = dict(zip(grams, logp.tolist()))
+def word_scores(words: list[str], logp: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """Log probability of each word; ``logp`` are those of ``distinct_grams(words)``."""
+    chars = alphabet(words, order)
+    if chars is None:
+        known = dict(zip(distinct_grams(words, order), logp.tolist()))
         return np.array([math.fsum([known[g] for g in word_grams(w, order)]) for w in words])
-    keys, begins, chars = packed
-    held = repacked(grams, chars, order)
-    by = np.argsort(held)
-    return np.add.reduceat(logp[by][np.searchsorted(held[by], keys)], begins)
+    held, out = distinct_keys(words, chars, order), [np.empty(0)]
+    for i in range(0, len(words), _SLICE):
+        keys, begins = packed_grams(words[i : i + _SLICE], chars, order)
+        out.append(np.add.reduceat(logp[np.searchsorted(held, keys)], begins))
+    return np.concatenate(out)
 
 
 class _Numbers(dict):
@@ -253,7 +253,7 @@ def _packer(folder: str, order: int):
 def _scorer(folder: str, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, own_langs, grams, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            for name, own_langs, answers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 with _open(folder, f"{name:x}", "r") as source:
                     docs, words, planes = (pa.ipc.open_stream(source).read_all() for _ in range(3))
                 words = words.column("words").to_pylist()
@@ -264,14 +264,15 @@ def _scorer(folder: str, order: int):
                 lengths = np.array(list(map(len, words)), np.int64) + 1
                 sums: list[float | None] = [None] * len(langs)
                 counts = [int(lengths[flat[e - n : e]].sum()) for e, n in zip(ends.tolist(), sizes.tolist())]
-                for lang, asked, logp in zip(own_langs, grams.as_py(), values.as_py()):
+                for lang, packed in zip(own_langs, answers.values):
                     mine = [i for i, x in enumerate(langs) if ("" if x is None else f"={x}") == lang and sizes[i]]
                     used = np.zeros(len(words), bool)
                     for i in mine:
                         used[flat[ends[i] - sizes[i] : ends[i]]] = True
                     at = np.flatnonzero(used)
+                    told = np.sort(packed.values.to_numpy())
                     scores = np.zeros(len(words))
-                    scores[at] = word_scores([words[i] for i in at.tolist()], asked, np.array(logp, np.float64), order)
+                    scores[at] = word_scores([words[i] for i in at.tolist()], (told % _PLACE) / -_SCALE, order)
                     for i in mine:
                         sums[i] = float(scores[flat[ends[i] - sizes[i] : ends[i]]].sum())
                 yield pa.RecordBatch.from_arrays([docs.column("doc_id").combine_chunks(), docs.column("lang").combine_chunks(), pa.array(sums, pa.float64()), pa.array(counts, pa.int64())], ["doc_id", "lang", "logp", "n_predicted"])
@@ -283,18 +284,19 @@ def perplexities(docs: DataFrame, model: KneserNey) -> DataFrame:
     """One row per input row: doc_id, lang, logp, n_predicted and perplexity per predicted character
     (null without a word, or if the model has no text of the language).
 
-    Log probabilities travel in single precision.
+    Log probabilities are rounded to multiples of 2 ** -24 on the way back.
     """
     spark = docs.sparkSession
     small_batches(spark)
     folder = scratch_path(spark, "kn-chunks")
     asked = materialize(_keyed(pick(docs, "doc_id", "lang", "text").mapInArrow(_packer(folder, model.order), _ASKED)), "kn-asked")
-    one = asked.select("chunk", "lang", F.explode("grams").alias("gram"))
-    answers = materialize(model.answer(one.select("lang", "gram").distinct()), "kn-answers")
-    back = one.join(answers.select("lang", "gram", F.col("logp").cast("float").alias("logp")), ["lang", "gram"]).groupBy("chunk", "lang").agg(F.collect_list(F.struct("gram", "logp")).alias("a"))
+    one = asked.select("chunk", "lang", F.posexplode("grams").alias("place", "gram"))
+    answers = model.answer(materialize(one.select("lang", "gram").distinct(), "kn-questions"))
+    told = F.col("place").cast("long") * _PLACE + F.round(F.least(-F.col("logp"), F.lit(200.0)) * _SCALE).cast("long")
+    back = one.join(answers, ["lang", "gram"]).select("chunk", "lang", told.alias("told")).groupBy("chunk", "lang").agg(F.collect_list("told").alias("told"))
     every = asked.select("chunk", "lang").join(back, ["chunk", "lang"], "left")
-    ready = every.groupBy("chunk").agg(F.filter(F.collect_list(F.struct("lang", F.col("a.gram").alias("grams"), F.col("a.logp").alias("logps"))), lambda x: x["grams"].isNotNull()).alias("own"))
-    ready = ready.select("chunk", F.col("own.lang").alias("langs"), F.col("own.grams").alias("grams"), F.col("own.logps").alias("logps"))
+    ready = every.groupBy("chunk").agg(F.filter(F.collect_list(F.struct("lang", "told")), lambda x: x["told"].isNotNull()).alias("own"))
+    ready = ready.select("chunk", F.col("own.lang").alias("langs"), F.col("own.told").alias("told"))
     scored = ready.mapInArrow(_scorer(folder, model.order), "doc_id long, lang string, logp double, n_predicted long")
     return scored.withColumn("perplexity", F.when(F.col("n_predicted") > 0, F.exp(-F.col("logp") / F.col("n_predicted"))))
 

@@ -111,7 +111,8 @@ _AVG = "mean AS (SELECT coalesce(round_even(sum(degree) / count(*), 2), 0) AS av
 def top_brands_by_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten brands of highest degree (the feature is the limit), with the mean product degree."""
     t = tables(spark, sf_dir)
-    return graph.top_brands(t.nodes, t.edges).join(F.broadcast(graph.average_product_degree(t.nodes, t.edges)))
+    both = graph.top_brands(t.nodes, t.edges).join(F.broadcast(graph.average_product_degree(t.nodes, t.edges)))
+    return both.orderBy(F.desc("degree"), "node_id")
 
 
 @query(f"WITH {GRAPH} SELECT type, count(*)::BIGINT AS n FROM nodes GROUP BY type")

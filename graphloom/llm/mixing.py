@@ -194,7 +194,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         on = same if on is None else on & same
     joined = keyed.join(decided.select(*[F.col(k) for k in key], "copies", "spans").hint("shuffle_hash") if not repeated else decided, on)
     pieces = F.regexp_extract_all(keyed["text"], F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform(F.col("spans"), lambda s: F.slice(pieces, (s["start"] + 1).cast("int"), s["words"].cast("int")))), "")
+    cut = lambda own: F.array_join(F.flatten(F.transform(F.col("spans"), lambda s: F.slice(own, (s["start"] + 1).cast("int"), s["words"].cast("int")))), "")
+    part = F.element_at(F.transform(F.array(pieces), cut), 1)  # a lambda's variable: the text is split once, not for every span
     whole = F.when(F.col("copies") > 0, F.array_repeat(keyed["text"], F.col("copies").cast("int"))).otherwise(F.array().cast("array<string>"))
     texts = F.concat(whole, F.when(F.size("spans") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
     keep = [keyed[c] for c in docs.columns if c not in ("text", "n_chars")]

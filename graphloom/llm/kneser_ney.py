@@ -211,7 +211,7 @@ def word_scores(words: list[str], logp: np.ndarray, order: int = ORDER) -> np.nd
 
 
 class _Numbers(dict):
-    """word -> its number in the chunk, in the order of first use."""
+    """word -> its number, in the order of first use."""
 
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
@@ -228,14 +228,17 @@ def _packer(folder: str, order: int):
             numbers = _Numbers()
             texts = [np.array(list(map(numbers.__getitem__, t.split())), np.uint32) for _, _, t in part]
             sizes = np.array(list(map(len, texts)), np.int64)
-            flat = np.concatenate(texts)
-            words = list(numbers)
+            flat, words = np.concatenate(texts), list(numbers)
+            by_use = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(words), np.uint32)
+            rank[by_use] = np.arange(len(words), dtype=np.uint32)
+            flat, words = rank[flat], [words[i] for i in by_use.tolist()]
             # the bytes of a place stand together: the high ones are mostly zero and take no room
             planes = np.ascontiguousarray(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
             docs = pa.table({"doc_id": pa.array([r[0] for r in part], pa.int64()), "lang": pa.array([r[1] for r in part], pa.string()), "size": pa.array(sizes)})
             with _open(folder, f"{name:x}", "w") as out:
                 for table in (docs, pa.table({"words": pa.array(words, pa.string())}), pa.table({"planes": pa.array([planes], pa.large_binary())})):
-                    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as sink:
+                    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as sink:
                         sink.write_table(table)
             langs = docs.column("lang").to_pylist()
             ends = np.cumsum(sizes)
@@ -291,14 +294,21 @@ def perplexities(docs: DataFrame, model: KneserNey) -> DataFrame:
     folder = scratch_path(spark, "kn-chunks")
     asked = materialize(_keyed(pick(docs, "doc_id", "lang", "text").mapInArrow(_packer(folder, model.order), _ASKED)), "kn-asked")
     one = asked.select("chunk", "lang", F.posexplode("grams").alias("place", "gram"))
-    answers = model.answer(materialize(one.select("lang", "gram").distinct(), "kn-questions"))
+    # bucketed by question: the distinct questions and the join with their answers need no further shuffle
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"kn_questions_{uuid.uuid4().hex}"
+    dealt = one.repartition(buckets, "lang", "gram").write.bucketBy(buckets, "lang", "gram").sortBy("lang", "gram")
+    dealt.option("path", scratch_path(spark, "kn-questions")).saveAsTable(name)
+    one = spark.table(name)
+    answers = model.answer(materialize(one.select("lang", "gram").distinct(), "kn-distinct"))
     told = F.col("place").cast("long") * _PLACE + F.round(F.least(-F.col("logp"), F.lit(200.0)) * _SCALE).cast("long")
     back = one.join(answers, ["lang", "gram"]).select("chunk", "lang", told.alias("told")).groupBy("chunk", "lang").agg(F.collect_list("told").alias("told"))
     every = asked.select("chunk", "lang").join(back, ["chunk", "lang"], "left")
     ready = every.groupBy("chunk").agg(F.filter(F.collect_list(F.struct("lang", "told")), lambda x: x["told"].isNotNull()).alias("own"))
     ready = ready.select("chunk", F.col("own.lang").alias("langs"), F.col("own.told").alias("told"))
     scored = ready.mapInArrow(_scorer(folder, model.order), "doc_id long, lang string, logp double, n_predicted long")
-    return scored.withColumn("perplexity", F.when(F.col("n_predicted") > 0, F.exp(-F.col("logp") / F.col("n_predicted"))))
+    scored = materialize(scored.withColumn("perplexity", F.when(F.col("n_predicted") > 0, F.exp(-F.col("logp") / F.col("n_predicted")))), "kn-scored")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return scored
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -322,7 +332,7 @@ def quality_by_perplexity(docs: DataFrame, labels: DataFrame, *, order: int = OR
     slim = pick(docs, "doc_id", "lang", "text")
     model = KneserNey.train(slim.join(ids, "doc_id", "left_semi"), order)
     scored = perplexities(slim, model)
-    scored = materialize(scored.withColumn("x", F.log("perplexity")).withColumn("scale", F.sqrt(F.col("n_predicted") / (F.col("n_predicted") + F.lit(float(short))))), "kn-scored")
+    scored = scored.withColumn("x", F.log("perplexity")).withColumn("scale", F.sqrt(F.col("n_predicted") / (F.col("n_predicted") + F.lit(float(short)))))
     reference = materialize(scored.filter("x is not null").join(ids, "doc_id", "left_semi").select("lang", "x", "scale"), "kn-reference")
     middle = reference.groupBy("lang").agg(F.percentile_approx("x", F.lit(0.5), F.lit(10_000)).alias("mid"))
     lang = F.col("lang").eqNullSafe(F.col("_lang"))

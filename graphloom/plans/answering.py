@@ -249,9 +249,9 @@ def cites_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents cite each benchmark text. The texts to look for are few and asked in rounds that are broadcast."""
     from functools import reduce
 
-    names = materialize(inputs.table(spark, sf_dir, "benchmark").filter("text is not null").select("item_id", F.split(evaluate.normal(F.col("text")), " ").alias("words")), "names")
+    names = materialize(inputs.table(spark, sf_dir, "benchmark").filter("text is not null").select("item_id", evaluate.needle(F.split(evaluate.normal(F.col("text")), " ")).alias("needle")), "names")
     docs = inputs.table(spark, sf_dir, "documents").filter("text is not null").select(evaluate.normal(F.col("text")).alias("answer"))
-    parts = [docs.join(part, evaluate.cites_words(F.col("answer"), F.col("words"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n")) for part in retrieve.rounds(names)]
+    parts = [docs.join(part, F.contains("answer", "needle")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n")) for part in retrieve.rounds(names)]
     return reduce(DataFrame.unionByName, parts).groupBy("item_id").agg(F.sum("n").alias("n_documents"))
 
 

@@ -14,8 +14,14 @@ The inverted index lists, by term, the examples that hold it in blocks of
 the block of its highest summed maxima first, and then only blocks whose summed
 maxima reach the k-th best cosine found there: the k nearest are exact, ties to
 the example with the smaller number. The votes, weighted by cosine, are smoothed by the
-share of toxic examples that hold no term at all, and a logistic curve fitted to
-the examples' own leave-one-out votes turns them into a probability.
+share of toxic examples that hold no term at all.
+
+A second vote is taken by the k nearest examples over every word of the examples,
+whether it tells the classes apart or not, so a text without a term has neighbours
+too. Words that many examples hold are rows of one matrix product for a group of
+texts, the others lists of postings; no cosine is skipped. Its weights are squared
+cosines, since texts of one language share words by chance. A logistic curve fitted
+to the examples' own leave-one-out votes of both kinds turns them into a probability.
 """
 
 from __future__ import annotations
@@ -50,6 +56,10 @@ BLOCK = 64
 NEIGHBOURS = 15
 #: Weight of the prior in the vote, in units of cosine.
 PRIOR_MASS = 0.25
+#: A word that more than one in so many examples hold is a row of the matrix of frequent words.
+FREQUENT = 16
+#: Texts whose cosines over all words are taken together, and the bytes that the matrix of frequent words may take.
+TEXTS, MATRIX_BYTES = 64, 64 << 20
 _MEMO = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -109,7 +119,9 @@ class Vocabulary(dict):
 
     def count(self, text: str) -> dict[int, int]:
         """Term counts of a text; a marked term counts once."""
-        words = _WORD.findall(text.lower())
+        return self.count_words(_WORD.findall(text.lower()))
+
+    def count_words(self, words: list[str]) -> dict[int, int]:
         tf: dict[int, int] = {}
         for numbers in filter(None, map(self.__getitem__, words)):
             for t in numbers:
@@ -119,6 +131,72 @@ class Vocabulary(dict):
         return {t: n for t, n in tf.items() if t >= 0}
 
 
+class WordExamples:
+    """The examples' vectors over all their words, and the exact cosines of texts with them."""
+
+    def __init__(self, words: list[str], idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]):
+        """``vectors``: numbers of the words and their counts, by example."""
+        self.number = {w: i for i, w in enumerate(words)}
+        self.idf, self.n = idf, len(vectors)
+        unit = [self._unit(*v) for v in vectors]
+        own = np.concatenate([np.empty(0, np.int64), *[v[0] for v in vectors]])
+        order = np.argsort(own, kind="stable")
+        self.examples = np.repeat(np.arange(self.n, dtype=np.int32), [len(v[0]) for v in vectors])[order]
+        self.weights = np.concatenate([np.empty(0), *unit])[order]
+        sizes = np.bincount(own, minlength=len(words)) if len(words) else np.empty(0, np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(sizes)))
+        most = MATRIX_BYTES // (8 * max(self.n, 1))
+        self.frequent = np.sort(np.argsort(-sizes, kind="stable")[: min(most, int((sizes * FREQUENT > self.n).sum()))])
+        self.row = np.full(len(words), -1, np.int64)
+        self.row[self.frequent] = np.arange(len(self.frequent))
+        self.matrix = np.zeros((len(self.frequent), self.n))
+        for i, w in enumerate(self.frequent.tolist()):
+            a, b = self.starts[w], self.starts[w + 1]
+            self.matrix[i, self.examples[a:b]] = self.weights[a:b]
+
+    def _unit(self, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        raw = (1 + np.log(counts)) * self.idf[numbers]
+        norm = math.sqrt(float(raw @ raw))
+        return raw / norm if norm else raw
+
+    def count(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of a text's words; words of no example are left out."""
+        found = [(self.number[w], n) for w, n in Counter(words).items() if w in self.number]
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        return pairs[:, 0], pairs[:, 1]
+
+    def cosines(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of some texts (``count``) with all examples."""
+        q = np.zeros((len(texts), len(self.frequent)))
+        rare = []
+        for i, (numbers, counts) in enumerate(texts):
+            w, row = self._unit(numbers, counts), self.row[numbers]
+            q[i, row[row >= 0]] = w[row >= 0]
+            rare.append((numbers[row < 0], w[row < 0]))
+        out = q @ self.matrix
+        for i, (numbers, w) in enumerate(rare):
+            begin = self.starts[numbers]
+            sizes = self.starts[numbers + 1] - begin
+            at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            out[i] += np.bincount(self.examples[at], weights=np.repeat(w, sizes) * self.weights[at], minlength=self.n)
+        return out
+
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """Each text's k highest (cosine, example), zero cosines left out; ties (to 9 places) to the smaller number."""
+        found = []
+        for i in range(0, len(texts), TEXTS):
+            for j, own in enumerate(self.cosines(texts[i : i + TEXTS])):
+                if skip is not None:
+                    own[skip[i + j]] = 0
+                kth = float(np.partition(own, self.n - k)[self.n - k]) if self.n > k else 0.0
+                hit = np.flatnonzero((own > 0) & (own >= kth - 1e-9))
+                cosine = np.minimum(np.round(own[hit], 9), 1.0)
+                best = np.lexsort((hit, -cosine))[:k]
+                found.append(list(zip(cosine[best].tolist(), hit[best].tolist())))
+        return found
+
+
 @dataclass
 class NearestExamples:
     """The index over the examples' vectors, and how votes become a score."""
@@ -132,6 +210,9 @@ class NearestExamples:
     k: int = NEIGHBOURS
     slope: float = 8.0
     offset: float = -4.0
+    words: WordExamples | None = None
+    word_slope: float = 0.0
+    share: float = 0.0  # of toxic documents
 
     def build(self, vectors: list[dict[int, int]]) -> NearestExamples:
         """``vectors``: term counts of the examples, in order of their numbers."""
@@ -199,37 +280,62 @@ class NearestExamples:
         ground = PRIOR_MASS * float(self.weights.min())
         return (math.fsum(c for c, label in own if label) + ground * self.prior) / (math.fsum(c for c, _ in own) + ground)
 
-    def score(self, vote: float) -> float:
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * vote + self.offset))))
+    def word_vote(self, near: list[tuple[float, int]]) -> float:
+        own = [(c * c * float(self.weights[self.labels[i]]), self.labels[i]) for c, i in near]
+        ground = PRIOR_MASS * float(self.weights.min())
+        return (math.fsum(c for c, label in own if label) + ground * self.share) / (math.fsum(c for c, _ in own) + ground)
+
+    def word_neighbours(self, texts: list[list[str]], skip: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """By text (its words), the nearest examples over all words."""
+        if self.words is None or not self.words.n:
+            return [[] for _ in texts]
+        return self.words.nearest([self.words.count(t) for t in texts], self.k, skip)
+
+    def score(self, vote: float, word_vote: float) -> float:
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * vote + self.word_slope * word_vote + self.offset))))
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> NearestExamples:
-        """Fit the curve by weighted Newton steps, with Platt's smoothed targets and a slope of at least 0."""
+        """Fit the curve by weighted Newton steps, with Platt's smoothed targets and slopes of at least 0.
+
+        ``votes``: a column of votes over terms and one of votes over words.
+        """
         pos, neg = float(weight[labels == 1].sum()), float(weight[labels == 0].sum())
         if not pos or not neg:
             p = min(max((pos + 1) / (pos + neg + 2), 1e-3), 1 - 1e-3)
-            self.slope, self.offset = 0.0, math.log(p / (1 - p))
+            self.slope, self.word_slope, self.offset = 0.0, 0.0, math.log(p / (1 - p))
             return self
         target = np.where(labels == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-        a, b = 8.0, -4.0
-
-        def loss(a: float, b: float) -> float:
-            z = a * votes + b
-            return float((weight * (np.logaddexp(0, z) - target * z)).sum()) + 1e-3 * a * a
-
-        now = loss(a, b)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(a * votes + b, -500, 500)))
-            g, h = weight * (p - target), weight * np.maximum(p * (1 - p), 1e-9)
-            grad = np.array([(g * votes).sum() + 2e-3 * a, g.sum()])
-            hess = np.array([[(h * votes * votes).sum() + 2e-3, (h * votes).sum()], [(h * votes).sum(), h.sum() + 1e-9]])
-            step, size = np.linalg.solve(hess, grad), 1.0
-            while size > 1e-4 and loss(a - size * step[0], b - size * step[1]) > now:
-                size /= 2
-            a, b = a - size * step[0], b - size * step[1]
-            before, now = now, loss(a, b)
-            if before - now < 1e-9:
-                break
-        self.slope, self.offset = max(0.0, float(a)), float(b)
+
+        def fitted(columns: list[int]) -> np.ndarray:
+            x = np.column_stack([votes[:, columns], np.ones(len(votes))])
+            ridge = np.array([1e-3] * len(columns) + [0.0])
+            b = np.array([8.0] * len(columns) + [-4.0])
+
+            def loss(b: np.ndarray) -> float:
+                z = x @ b
+                return float((weight * (np.logaddexp(0, z) - target * z)).sum() + (ridge * b * b).sum())
+
+            now = loss(b)
+            for _ in range(50):
+                p = 1 / (1 + np.exp(-np.clip(x @ b, -500, 500)))
+                g, h = weight * (p - target), weight * np.maximum(p * (1 - p), 1e-9)
+                step = np.linalg.solve((x * h[:, None]).T @ x + np.diag(2 * ridge + 1e-9), x.T @ g + 2 * ridge * b)
+                size = 1.0
+                while size > 1e-4 and loss(b - size * step) > now:
+                    size /= 2
+                b = b - size * step
+                before, now = now, loss(b)
+                if before - now < 1e-9:
+                    break
+            return b
+
+        columns = [0, 1]
+        b = fitted(columns)
+        while columns and b[:-1].min() < 0:
+            columns.pop(int(b[:-1].argmin()))
+            b = fitted(columns)
+        slopes = dict(zip(columns, b.tolist()))
+        self.slope, self.word_slope, self.offset = slopes.get(0, 0.0), slopes.get(1, 0.0), float(b[-1])
         return self
 
 
@@ -251,13 +357,23 @@ def sample_examples(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame
     return found.groupBy("example").agg(F.max("label").alias("label"), F.max(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-def _counter(terms, by_example: bool):
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [Counter(_WORD.findall((t.as_py() or "").lower())) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int64()))], ["example", "words", "counts"])
+
+
+def _counter(terms, by_example: bool, words=None):
     def document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words are numbered after the terms."""
         vocabulary, df, n = Vocabulary(terms.value), Counter(), 0
+        number = {w: i for i, w in enumerate(words.value, len(terms.value))}
         for batch in batches:
             n += batch.num_rows
             for t in batch.column(0):
-                df.update(vocabulary.count(t.as_py() or "").keys())
+                own = _WORD.findall((t.as_py() or "").lower())
+                df.update(vocabulary.count_words(own).keys())
+                df.update([number[w] for w in set(own) if w in number])
         yield pa.RecordBatch.from_arrays([pa.array([-1, *df], pa.int32()), pa.array([n, *df.values()], pa.int64())], ["term", "df"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,9 +405,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES,
     terms = sorted(r.term for r in chosen.select("term").toLocalIterator())
     shared = spark.sparkContext.broadcast(terms)
 
-    counts = pick(docs, "text").mapInArrow(_counter(shared, False), "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    number: dict[str, int] = {}
+    held: dict = {}
+    for r in examples.select("example", "text").mapInArrow(_word_counts, "example long, words array<string>, counts array<long>").toLocalIterator():
+        held[r.example] = (np.array([number.setdefault(w, len(number)) for w in r.words], np.int64), np.array(r.counts, np.int64))
+    words = sorted(number)
+    place = np.empty(len(words), np.int64)
+    place[[number[w] for w in words]] = np.arange(len(words))
+    for i, (numbers, n_of) in held.items():
+        order = np.argsort(place[numbers])
+        held[i] = (place[numbers][order], n_of[order])
+    shared_words = spark.sparkContext.broadcast(words)
+
+    counts = pick(docs, "text").mapInArrow(_counter(shared, False, shared_words), "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
     df = {r.term: r.df for r in counts.toLocalIterator()}
-    idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) for i in range(len(terms))])
+    idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) for i in range(len(terms) + len(words))])
 
     vectors = examples.select("example", "label", "text").mapInArrow(_counter(shared, True), "example long, label int, tf map<int,long>")
     own = sorted(((r.example, r.label, dict(r.tf)) for r in vectors.toLocalIterator()), key=lambda x: x[0])
@@ -301,8 +429,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES,
     own_weights = weights[tags] if n else np.empty(0)
     share = float((own_weights * tags).sum() / own_weights.sum()) if n else 0.0
     prior = (float((own_weights * tags)[bare].sum()) + share) / (float(own_weights[bare].sum()) + 1) if n else 0.0
-    model = NearestExamples(terms, idf, tags, np.array([x[0] for x in own], np.int64), weights, prior, k).build([x[2] for x in own])
-    votes = np.array([model.vote(model.nearest(x[2], skip=i) if x[2] else []) for i, x in enumerate(own)]) if own else np.empty(0)
+    model = NearestExamples(terms, idf[: len(terms)], tags, np.array([x[0] for x in own], np.int64), weights, prior, k, share=share).build([x[2] for x in own])
+    model.words = WordExamples(words, idf[len(terms) :], [held[x[0]] for x in own])
+    near = model.words.nearest([held[x[0]] for x in own], k, skip=list(range(len(own))))
+    votes = np.array([(model.vote(model.nearest(x[2], skip=i) if x[2] else []), model.word_vote(w)) for i, (x, w) in enumerate(zip(own, near))]).reshape(-1, 2)
     return model.calibrate(votes, tags, own_weights)
 
 
@@ -310,20 +440,24 @@ def _scorer(model, evidence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: NearestExamples = model.value
         vocabulary = Vocabulary(index.terms)
-        memo: dict[tuple, tuple[float, list]] = {}
+        memo: dict[tuple, list] = {}
         for batch in batches:
             scores, seen = [], []
-            for t in batch.column(1):
-                tf = vocabulary.count(t.as_py() or "")
+            texts = [_WORD.findall((t.as_py() or "").lower()) for t in batch.column(1)]
+            for words, other in zip(texts, index.word_neighbours(texts)):
+                tf = vocabulary.count_words(words)
                 key = tuple(sorted(tf.items()))
                 if key not in memo:
                     if len(memo) > 20_000:
                         memo.clear()
-                    near = index.nearest(tf)
-                    memo[key] = (index.score(index.vote(near)), [{"doc_id": int(index.doc_ids[i]), "cosine": c, "toxic": int(index.labels[i])} for c, i in near[:evidence]])
-                s, e = memo[key]
-                scores.append(s)
-                seen.append(e)
+                    memo[key] = index.nearest(tf)
+                near = memo[key]
+                scores.append(index.score(index.vote(near), index.word_vote(other)))
+                best: dict[int, float] = {}
+                for c, i in [*near[:evidence], *other[:evidence]]:
+                    best[i] = max(c, best.get(i, 0.0))
+                first = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:evidence]
+                seen.append([{"doc_id": int(index.doc_ids[i]), "cosine": c, "toxic": int(index.labels[i])} for i, c in first])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(seen, kind)], ["doc_id", "score", "evidence"])
 
@@ -331,10 +465,11 @@ def _scorer(model, evidence: int):
 
 
 def score(docs: DataFrame, model: NearestExamples, *, evidence: int = 3) -> DataFrame:
-    """One row per input row: doc_id, score and evidence (the nearest labelled examples with their cosine and label).
+    """One row per input row: doc_id, score and evidence (the nearest labelled examples with their cosine and label;
+    the higher of the cosines over terms and over all words).
 
-    Texts without a term of the vocabulary, null and empty ones among them, get
-    the score of a vote of the prior alone, without evidence. Null doc_ids and
+    Texts without a word of an example, null and empty ones among them, get
+    the score of votes of the priors alone, without evidence. Null doc_ids and
     repeated rows are kept as they are; an empty table gives an empty result;
     other columns are ignored. Without labelled examples every score is 0.5.
     One pass, no shuffle.
@@ -368,12 +503,12 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: NearestExamples = shared.value
         vocabulary = Vocabulary(index.terms)
-        bare = index.score(index.vote([])) < threshold
         for batch in batches:
+            texts = [_WORD.findall((t.as_py() or "").lower()) for t in batch.column(batch.schema.get_field_index("text"))]
             keep = []
-            for t in batch.column(batch.schema.get_field_index("text")):
-                tf = vocabulary.count(t.as_py() or "")
-                keep.append(bare if not tf else index.score(index.vote(index.nearest(tf))) < threshold)
+            for words, other in zip(texts, index.word_neighbours(texts)):
+                tf = vocabulary.count_words(words)
+                keep.append(index.score(index.vote(index.nearest(tf) if tf else []), index.word_vote(other)) < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -62,3 +62,44 @@ def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.toxicity(docs, none).collect()} == {0.5}
     assert toxicity.toxicity(spark.createDataFrame([], SCHEMA), none).count() == 0
+
+
+def test_cosines_over_all_words_are_exact():
+    rng = random.Random(6)
+    names = [f"w{i}" for i in range(60)]
+    idf = np.array([rng.uniform(0, 5) for _ in names])
+    texts = [rng.choices(names[: rng.choice([8, 60])], k=rng.randint(0, 9)) for _ in range(300)]
+    index = toxicity.WordExamples(names, idf, [])
+    index = toxicity.WordExamples(names, idf, [index.count(t) for t in texts])
+    assert 0 < len(index.frequent) < len(names)
+
+    def unit(t):
+        raw = {w: (1 + math.log(t.count(w))) * idf[int(w[1:])] for w in sorted(set(t)) if w in names}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        return {w: x / norm for w, x in raw.items()} if norm else {}
+
+    units = [unit(t) for t in texts]
+    queries = texts[:100] + [["unknown"], ["w1", "unknown"]]
+    for q, got in zip(queries, index.nearest([index.count(q) for q in queries], 15)):
+        own = unit(q)
+        scored = [(min(1.0, round(sum(w * u.get(t, 0.0) for t, w in own.items()), 9)), i) for i, u in enumerate(units)]
+        want = sorted([x for x in scored if x[0] > 0], key=lambda x: (-x[0], x[1]))[:15]
+        assert len(got) == len(want) and all(math.isclose(a, b, abs_tol=2e-9) for (a, _), (b, _) in zip(got, want))
+
+
+def test_copies_without_a_term_are_found(spark):
+    """Texts whose words no other group holds: no term tells the classes apart, only the whole text does."""
+    data, labels = [], []
+    for g in range(80):
+        text = " ".join("q" + chr(97 + g % 26) + chr(97 + g // 26) + chr(97 + w) + "zz" for w in range(12))
+        for c in range(3):
+            data.append((3 * g + c, text, "en", "a", len(text), *["clash"] * 2, 7, *["clash"] * 3))
+            if c:
+                labels.append((3 * g + c, int(g % 4 == 0)))
+    docs = frame(spark, data)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, known)
+    assert model.terms == []
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert all((got[3 * g].score >= 0.7) == (g % 4 == 0) and len(got[3 * g].evidence) >= 2 for g in range(80))
+    assert {r.doc_id for r in toxicity.without_toxic(docs, known).collect()} == {r[0] for r in data if r[0] // 3 % 4}

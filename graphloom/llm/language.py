@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 
 from graphloom.llm.common import pick, small_batches
 from graphloom.llm.pieces import chunks
+from graphloom.storage import materialize
 
 #: Characters of training text of one language, and of all together.
 TRAIN_CHARS = 1 << 15
@@ -201,16 +202,18 @@ def training_texts(docs: DataFrame, per_lang: int = TRAIN_CHARS, total: int = TR
     Documents are thinned by that hash and copies collapsed before they are
     ordered, so a language that holds most rows is never gathered.
     """
+    h = F.xxhash64(F.lit(6), "text")
     slim = pick(docs, "text", "lang").filter("lang is not null and text is not null").withColumn("n", F.length("text"))
-    sums = slim.groupBy("lang").agg(F.sum("n").alias("chars"), F.max("n").alias("most"))
-    n_langs = sums.count()
+    # copies share a hash, so only distinct texts say which share of the hashes fills a budget
+    once = materialize(slim.select("lang", h.alias("h"), "n").groupBy("lang", "h").agg(F.max("n").alias("n")), "language-texts")
+    n_langs = once.select("lang").distinct().count()
     if not n_langs:
         return {}
     budget = max(64, min(per_lang, total // n_langs))
-    h = F.xxhash64(F.lit(6), "text")
+    sums = once.groupBy("lang").agg(F.sum(F.least("n", F.lit(budget))).alias("chars"))
     share = (F.pmod(h, F.lit(1 << 30)) / float(1 << 30)).alias("share")
     thinned = slim.join(F.broadcast(sums) if n_langs <= 10_000 else sums, "lang").filter(F.col("n") > 0)
-    thinned = thinned.filter(share < (8.0 * budget + 4 * F.col("most")) / F.col("chars")).withColumn("h", h).dropDuplicates(["lang", "text"])
+    thinned = thinned.filter(share < 32.0 * budget / F.col("chars")).withColumn("h", h).dropDuplicates(["lang", "text"])
     order = Window.partitionBy("lang").orderBy("h", "text")
     before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     chosen = thinned.withColumn("before", before).filter(F.col("before") < budget)

@@ -86,3 +86,12 @@ def test_awkward_rows(spark):
     assert language.language_id(spark.createDataFrame([], SCHEMA)).count() == 0
     unlabelled = frame(spark, [(*r[:2], None, *r[3:]) for r in rows()])
     assert {r.lang_pred for r in language.language_id(unlabelled).collect()} == {"und"}
+
+
+def test_copies_do_not_crowd_out_a_language(spark):
+    from pyspark.sql import functions as F
+
+    copies = spark.range(20_000).select(F.lit("ab " * 66).alias("text"), F.lit("xx").alias("lang"))
+    others = spark.createDataFrame([(f"{chr(97 + i) * 3} " * 50, "xx") for i in range(20)], "text string, lang string")
+    got = language.training_texts(copies.unionByName(others), per_lang=640)
+    assert sum(map(len, got["xx"])) == 640

@@ -253,18 +253,18 @@ def simhash_components(docs: DataFrame, *, shingle: int = 4, seed: int = 42, rad
 
 
 def one_per_component(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; rows that repeat it keep one.
+    """One row of each component: the one with the smallest doc_id, and of several texts under it the one of the
+    smallest hash; rows that repeat both keep one.
 
     A document with a null doc_id stays only if its component holds no other.
     """
-    found = simhash_components(docs, **options)
-    keep = found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_keep"), F.col("fp").alias("_fp")).distinct()
-    repeated = keep.groupBy("_keep").count().filter("count > 1").limit(1).count() > 0
-    joined = docs.join(keep.select("_keep").distinct(), docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
-    many = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    if repeated or many:
-        from pyspark.sql.window import Window
-
-        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-        joined = joined.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    text_hash = F.xxhash64("text")
+    # null ids come last; the least key of a component is the row that stays
+    key = F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"].alias("id"), text_hash.alias("h"))
+    found = simhash_components(docs.select(key.alias("doc_id"), "text"), **options)
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id.id").alias("_keep"), F.col("doc_id.h").alias("_keep_hash")).distinct()
+    hashed = docs.withColumn("_hash", text_hash)
+    joined = hashed.join(keep, (F.col("_hash") == F.col("_keep_hash")) & docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    if hashed.groupBy("doc_id", "_hash").count().filter("count > 1").limit(1).count() > 0:
+        joined = joined.dropDuplicates(["doc_id", "_hash"])
     return joined.select(*docs.columns)

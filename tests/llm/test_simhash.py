@@ -71,3 +71,10 @@ def test_links_of_planted_fingerprints(spark):
 def test_empty(spark):
     assert simhash.simhash_components(spark.createDataFrame([], SCHEMA)).count() == 0
     assert simhash.one_per_component(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_each_component_keeps_one_row_without_or_under_one_id(spark):
+    texts = [f"{w} stands alone {w * 2} here {w * 3} now {w * 4} again" for w in ("alpha", "bravo", "chess", "delta", "ember")]
+    data = [(i, t, "en", "a", len(t), *["clash"] * 2, 7, *["clash"] * 3) for i, t in [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[2])]]
+    kept = simhash.one_per_component(frame(spark, data)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("None", texts[0]), ("None", texts[1]), ("7", texts[2]), ("7", texts[3]), ("7", texts[4])])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import pick, small_batches
+from graphloom.llm.common import n_words, pick, small_batches
 from graphloom.llm.pieces import chunks
 from graphloom.llm.tokenfile import _open
 from graphloom.storage import materialize, scratch_path
@@ -42,6 +42,8 @@ QUANTILES, FENCE = (0.02, 0.98), 1.0
 #: At this many predicted characters a text's log perplexity varies as much by chance as by its kind:
 #: deviations are scaled by sqrt(n / (n + SHORT)).
 SHORT = 2000
+#: Distinct trusted texts that a language needs to have fences.
+MIN_TRUSTED = 10
 #: Trusted doc_ids up to this number are broadcast; beyond it they are joined by key.
 MAX_BROADCAST_IDS = 1_000_000
 _GRAMS = "lang string, gram string, n long"
@@ -322,7 +324,7 @@ def quality_by_perplexity(docs: DataFrame, labels: DataFrame, *, order: int = OR
 
     Trusted are the documents labelled of good quality. A document without a
     word (null and empty texts among them) has no perplexity and isn't kept. One whose
-    language has no trusted text can't be judged and is kept. A null lang is a
+    language has fewer than ``MIN_TRUSTED`` distinct trusted texts can't be judged and is kept. A null lang is a
     language of its own. Null doc_ids and repeated rows are judged like others;
     an empty table gives an empty result; other columns are ignored.
     """
@@ -330,7 +332,10 @@ def quality_by_perplexity(docs: DataFrame, labels: DataFrame, *, order: int = OR
     if ids.count() <= MAX_BROADCAST_IDS:
         ids = F.broadcast(ids)
     slim = pick(docs, "doc_id", "lang", "text")
-    model = KneserNey.train(slim.join(ids, "doc_id", "left_semi"), order)
+    trusted = slim.join(ids, "doc_id", "left_semi")
+    distinct = trusted.filter(n_words(F.col("text")) > 0).select("lang", F.xxhash64("text").alias("h")).distinct()
+    enough = materialize(distinct.groupBy("lang").count().filter(F.col("count") >= MIN_TRUSTED).select("lang"), "kn-enough")
+    model = KneserNey.train(trusted, order)
     scored = perplexities(slim, model)
     scored = scored.withColumn("x", F.log("perplexity")).withColumn("scale", F.sqrt(F.col("n_predicted") / (F.col("n_predicted") + F.lit(float(short)))))
     reference = materialize(scored.filter("x is not null").join(ids, "doc_id", "left_semi").select("lang", "x", "scale"), "kn-reference")
@@ -339,6 +344,7 @@ def quality_by_perplexity(docs: DataFrame, labels: DataFrame, *, order: int = OR
     deviation = (F.col("x") - F.col("mid")) * F.col("scale")
     spread = reference.join(middle.withColumnRenamed("lang", "_lang"), lang).groupBy("lang").agg(F.percentile_approx(deviation, [*quantiles], 10_000).alias("q"), F.first("mid").alias("mid"))
     fences = spread.select(F.col("lang").alias("_lang"), "mid", (F.get("q", F.lit(0)) * (1 + fence)).alias("below"), (F.get("q", F.lit(1)) * (1 + fence)).alias("above"))
+    fences = fences.join(enough, F.col("_lang").eqNullSafe(F.col("lang")), "left_semi")
     out = scored.join(fences, lang, "left")
     kept = (F.col("n_predicted") > 0) & F.coalesce(deviation.between(F.least("below", F.lit(0.0)), F.greatest("above", F.lit(0.0))), F.lit(True))
     edge = lambda side: F.when(F.col("scale") > 0, F.exp(F.col("mid") + F.col(side) / F.col("scale")))

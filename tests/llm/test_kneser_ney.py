@@ -115,3 +115,11 @@ def test_awkward_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert all(r.kept == (r.n_predicted > 0) for r in kn.quality_by_perplexity(docs, none).collect())
     assert kn.quality_by_perplexity(spark.createDataFrame([], SCHEMA), labels).count() == 0
+
+
+def test_few_trusted_texts_reject_nothing(spark):
+    prose = [r[1] for r in rows() if r[0] is not None and 12 <= r[0] < 42]
+    data = [(i, t, "one" if i < 15 else "copies") for i, t in enumerate(prose)] + [(100 + i, prose[20], "copies") for i in range(12)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(3, 1)] + [(100 + i, 1) for i in range(12)], "doc_id long, quality int")
+    assert all(r.kept for r in kn.quality_by_perplexity(docs, labels).collect())

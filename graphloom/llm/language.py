@@ -32,7 +32,8 @@ from graphloom.storage import materialize
 #: Characters of training text of one language, and of all together.
 TRAIN_CHARS = 1 << 15
 TRAIN_TOTAL = 1 << 18
-#: Distinct characters that an automaton tells apart: the most frequent of the training text.
+#: Letters that have a column in the transition tables: the most frequent of the training text. The transitions
+#: by all its other letters are few and kept as a sorted list.
 MAX_CLASSES = 96
 SEGMENT = 1024
 #: Bytes of text parsed together.
@@ -102,6 +103,10 @@ class CrossParser:
     table: np.ndarray
     starts: np.ndarray
     bits: np.ndarray  # log2 of each language's training length
+    rare: np.ndarray  # code points of the other letters, sorted; their codes follow those of ``classes``
+    rare_keys: np.ndarray  # place of a state * number of rare letters + letter, sorted
+    rare_goes: np.ndarray  # what ``table`` would hold there
+    rare_first: np.ndarray  # by language and rare letter, what it would hold without a transition
 
     @classmethod
     def fit(cls, texts: dict[str, list[str]]) -> CrossParser:
@@ -111,41 +116,64 @@ class CrossParser:
         seen, counts = np.unique(np.concatenate([*clean.values(), np.array([32], "<u4")]), return_counts=True)
         seen, counts = seen[seen != 32], counts[seen != 32]
         kept = np.sort(seen[np.lexsort((seen, -counts))[:MAX_CLASSES]])
+        rare = np.setdiff1d(seen, kept)
         width = len(kept) + 3
         tables, starts, at = [], [], 0
+        keys, targets, firsts = [], [], []
         for points in clean.values():
-            goes = suffix_automaton(cls._codes(kept, points).tolist())
+            goes = suffix_automaton(cls._codes(kept, rare, points).tolist())
             own = np.empty((len(goes), width), np.int32)
             first = np.full(width, ~np.int32(at), np.int32)  # a character that the language lacks is a phrase of its own
+            lone = np.full(len(rare), ~np.int32(at), np.int32)
             for c, to in goes[0].items():
-                first[c] = ~np.int32(at + to * width)
+                (first if c < width else lone)[c if c < width else c - width] = ~np.int32(at + to * width)
             own[:] = first
             rows = np.repeat(np.arange(len(goes)), [len(g) for g in goes])
             cols = np.fromiter((c for g in goes for c in g), np.int64, len(rows))
-            own[rows, cols] = at + width * np.fromiter((t for g in goes for t in g.values()), np.int64, len(rows))
+            ends = at + width * np.fromiter((t for g in goes for t in g.values()), np.int64, len(rows))
+            few = cols >= width
+            own[rows[~few], cols[~few]] = ends[~few]
+            keys.append((at + width * rows[few]) * len(rare) + cols[few] - width)
+            targets.append(ends[few])
+            firsts.append(lone)
             own[:, _OTHER] = ~np.int32(at)
             own[:, _PAD] = at + width * np.arange(len(goes))
             tables.append(own.ravel())
             starts.append(at)
             at += own.size
         table = np.concatenate(tables) if tables else np.empty(0, np.int32)
-        return cls(list(clean), kept, table, np.array(starts, np.int32), np.log2([max(2, len(v)) for v in clean.values()]))
+        keys, targets = np.concatenate([np.empty(0, np.int64), *keys]), np.concatenate([np.empty(0, np.int64), *targets])
+        order = np.argsort(keys)
+        firsts = np.array(firsts, np.int32).reshape(len(clean), len(rare))
+        return cls(list(clean), kept, table, np.array(starts, np.int32), np.log2([max(2, len(v)) for v in clean.values()]), rare, keys[order], targets[order].astype(np.int32), firsts)
 
     @staticmethod
-    def _codes(kept: np.ndarray, points: np.ndarray) -> np.ndarray:
-        if not len(kept):
-            return np.where(points == 32, _SPACE, _OTHER).astype(np.uint8)
-        at = np.minimum(np.searchsorted(kept, points), len(kept) - 1)
-        return np.where(points == 32, _SPACE, np.where(kept[at] == points, at + 3, _OTHER)).astype(np.uint8)
+    def _codes(kept: np.ndarray, rare: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """Codes of training text, whose letters are all known."""
+        codes = np.full(len(points), _SPACE, np.int64)
+        for letters_, begin in ((kept, 3), (rare, 3 + len(kept))):
+            held = np.isin(points, letters_)
+            codes[held] = np.searchsorted(letters_, points[held]) + begin
+        return codes
+
+    def _rare_step(self, before: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Entries for rare letters, by language and segment, from the places of the states before."""
+        default = self.rare_first[:, letter]
+        if not len(self.rare_keys):
+            return default
+        key = before.astype(np.int64) * len(self.rare) + letter
+        at = np.minimum(np.searchsorted(self.rare_keys, key), len(self.rare_keys) - 1)
+        return np.where(self.rare_keys[at] == key, self.rare_goes[at], default)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by text and language, and each text's characters (0: without a letter)."""
         if not texts:
             return np.zeros((0, len(self.langs)), np.int64), np.zeros(0, np.int64)
-        lookup = np.full(sys.maxunicode + 1, _SPACE, np.uint8) if not hasattr(self, "_lookup") else self._lookup
+        lookup = np.full(sys.maxunicode + 1, _SPACE, np.int32) if not hasattr(self, "_lookup") else self._lookup
         if not hasattr(self, "_lookup"):
             lookup[letters()] = _OTHER
-            lookup[self.classes] = np.arange(len(self.classes), dtype=np.uint8) + 3
+            lookup[self.classes] = np.arange(len(self.classes), dtype=np.int32) + 3
+            lookup[self.rare] = np.arange(len(self.rare), dtype=np.int32) + 3 + len(self.classes)
             self._lookup = lookup
         codes, sizes = [], []
         for t in texts:
@@ -156,7 +184,7 @@ class CrossParser:
             if not (own != _SPACE).any():
                 own = own[:0]
             else:
-                own = np.concatenate(([_SPACE] if own[0] != _SPACE else [], own, [_SPACE] if own[-1] != _SPACE else [])).astype(np.uint8)
+                own = np.concatenate(([_SPACE] if own[0] != _SPACE else [], own, [_SPACE] if own[-1] != _SPACE else [])).astype(np.int32)
             codes.append(own)
             sizes.append(len(own))
         n = np.array(sizes, np.int64)
@@ -164,16 +192,29 @@ class CrossParser:
         total = int(segments.sum())
         if not total or not self.langs:
             return np.zeros((len(texts), len(self.langs)), np.int64), n
-        flat = np.zeros(total * SEGMENT, np.uint8)
+        flat = np.zeros(total * SEGMENT, np.int32)
         for begin, own in zip((np.cumsum(segments) - segments) * SEGMENT, codes):
             flat[begin : begin + len(own)] = own
-        grid = np.ascontiguousarray(flat.reshape(total, SEGMENT).T)
+        width = len(self.classes) + 3
+        odd = np.flatnonzero(flat >= width)
+        letter = flat[odd] - width
+        flat[odd] = _OTHER
+        order = np.argsort(odd % SEGMENT, kind="stable")
+        odd, letter = odd[order], letter[order]
+        until = np.searchsorted(odd % SEGMENT, np.arange(SEGMENT + 1)).tolist()
+        grid = np.ascontiguousarray(flat.astype(np.uint8).reshape(total, SEGMENT).T)
         state = np.repeat(self.starts[:, None], total, axis=1)
         count = np.ones((len(self.langs), total), np.int32)
         table, sign = self.table, np.empty_like(state)
-        for row in grid:
+        for i, row in enumerate(grid):
+            a, b = until[i], until[i + 1]
+            if a < b:
+                where = odd[a:b] // SEGMENT
+                stepped = self._rare_step(state[:, where], letter[a:b])
             state += row
             np.take(table, state, out=state, mode="clip")
+            if a < b:
+                state[:, where] = stepped
             np.right_shift(state, 31, out=sign)
             count -= sign
             state ^= sign

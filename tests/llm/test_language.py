@@ -95,3 +95,18 @@ def test_copies_do_not_crowd_out_a_language(spark):
     others = spark.createDataFrame([(f"{chr(97 + i) * 3} " * 50, "xx") for i in range(20)], "text string, lang string")
     got = language.training_texts(copies.unionByName(others), per_lang=640)
     assert sum(map(len, got["xx"])) == 640
+
+
+def test_rare_letters_match_brute_force():
+    rng = random.Random(5)
+    wide = [chr(0x4E00 + i) for i in range(400)]
+    make = lambda letters, n: "".join(rng.choices(letters + [" "], k=n))
+    train = {"x": [make(wide[:300], 900), "ab abba"], "y": [make(wide[150:], 900)], "z": ["zaza"]}
+    parser = language.CrossParser.fit(train)
+    joined = {k: "".join(clean(t) for t in v) for k, v in train.items()}
+    texts = [train["x"][0][40:70], train["y"][0][:1500], "\u9fa5\u9fa4", *[make(wide + ["a", "b", "q"], rng.randint(1, 2500)) for _ in range(40)]]
+    counts, sizes = parser.phrases(texts)
+    for t, c, n in zip(texts, counts, sizes):
+        for k, got in zip(parser.langs, c):
+            assert (got, n) == brute_phrases(joined[k], t)
+    assert parser.predict([train["x"][0][40:70], train["y"][0][40:70]])[0] == ["x", "y"]

@@ -37,3 +37,9 @@ def count_of(text: Column, chars: str) -> Column:
 def pick(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of the input can't clash."""
     return docs.select(*[docs[n] for n in names])
+
+
+def apart(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns beside ``row``, a struct of all others, so that whatever their names, they can't clash."""
+    rest = [docs[c] for c in docs.columns if c not in names]
+    return docs.select(F.struct(*(rest or [F.lit(1).alias("none")])).alias("row"), *[docs[n].alias(n) for n in names])

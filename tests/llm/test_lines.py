@@ -1,8 +1,11 @@
+import random
 import zlib
 from collections import defaultdict
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from graphloom.llm import linededup
 from tests.llm.data import SCHEMA, frame, rows
@@ -28,11 +31,12 @@ def brute(data, min_chars=40, min_docs=5):
 
 def test_line_dedup(spark):
     docs = frame(spark)
-    got = linededup.deduped_documents(docs)
-    assert got.columns == [*docs.columns, "_n_lines", "_n_dropped"]
+    got = linededup.deduped_documents(docs, counts=True)
+    assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
     found = got.collect()
-    assert sorted((str(r.doc_id), r._n_lines, r._n_dropped, r.text or "") for r in found) == brute(rows())
-    assert any(r._n_dropped for r in found) and all(r.n_chars == len(r.text) for r in found if r._n_dropped)
+    assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.text or "") for r in found) == brute(rows())
+    assert any(r.n_dropped for r in found) and all(r.n_chars == len(r.text) for r in found if r.n_dropped)
+    assert linededup.deduped_documents(docs).columns == docs.columns
 
 
 def test_bitmaps(spark):
@@ -59,3 +63,52 @@ def test_one_line_over_many_tasks(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert linededup.deduped_documents(docs).count() == linededup.line_dedup(docs).count() == 0
+
+
+def test_random_groups_over_task_borders(spark):
+    """Few keys, many documents, repeated rows, nulls: groups of every size around the limit begin and end anywhere."""
+    rng = random.Random(4)
+    line = lambda k: f"line number {k} of a small stock of lines that are shared"
+    data = [(rng.choice([None, rng.randint(0, 60), rng.randint(0, 60)]), "\n".join(line(rng.randint(0, 25)) for _ in range(rng.randint(0, 6)))) for _ in range(220)]
+    data += data[:30]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    for n in ("3", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = linededup.deduped_documents(docs, counts=True).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.text) for r in got) == brute(data)
+
+
+def test_state_of_one_hot_line_stays_small(monkeypatch):
+    """A line of many documents in one task is given out batch by batch; only the lines of fewer than min_docs documents wait."""
+    monkeypatch.setattr(linededup, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    stream = linededup._Streamer(5)
+
+    def batch(key, docs):
+        n = len(docs)
+        return pa.RecordBatch.from_arrays([pa.array([key] * n), pa.array([0] * n), pa.array(docs), pa.array([1] * n), pa.array([0] * n, pa.int32()), pa.array([1] * n, pa.int32())], linededup._COLUMNS)
+
+    out = list(stream.take(batch(1, [3, 2])))
+    for i in range(50):
+        out += stream.take(batch(2, list(range(10_000 - 100 * i, 9_900 - 100 * i, -1))))
+        assert sum(x.num_rows for x in stream.waiting) < 5
+    out += stream.end()
+    kinds = pa.Table.from_batches(out).group_by("kind").aggregate([("pos", "count")]).to_pydict()
+    assert dict(zip(kinds["kind"], kinds["pos_count"])) == {linededup._OPEN: 2, linededup._LOST: 4999, linededup._SEEN: 2}
+
+
+def test_ids_of_text_and_clashing_names(spark):
+    names = ["dropped", "d", "h", "_d", "_h", "row", "kept", "text_hash", "n_lines", "keep_bitmap", "_text_hash", "lost", "pos", "key"]
+    data = [(str(r[0]) if r[0] is not None else None, r[1], *["x"] * len(names)) for r in rows()]
+    docs = spark.createDataFrame(data, "doc_id string, text string, " + ", ".join(f"{n} string" for n in names))
+    got = linededup.deduped_documents(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == [(d, t) for d, _, _, t in brute(data)]
+    with pytest.raises(ValueError):
+        linededup.deduped_documents(docs, counts=True)

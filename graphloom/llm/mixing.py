@@ -4,19 +4,21 @@ Targets. Each source gets its weight's share of all words; no target exceeds
 ``max_repeats`` times its source's size, and what that cuts off is shared again
 by weight until no target is above (solved in closed form over the sources).
 
-Quotas. All words are cut into equal blocks of ``block_words``. The blocks are
-seats: they go to sources by the highest quotients target / (2k + 1), then from
-each source to groups of shards and from a group to its shards by size. Every
-level is an exact highest-quotient apportionment over few rows (see
-``sainte_lague``), so no task ever holds more than ``FANOUT`` shards of a
-source, however large the source is.
+Quotas. All words are cut into equal blocks. The blocks are seats: they go to
+sources by the highest quotients target / (2k + 1), then from each source to
+groups of shards and from a group to its shards by size. Every level is an
+exact highest-quotient apportionment over few rows (see ``sainte_lague``), so no
+task ever holds more than ``FANOUT`` shards of a source, however large the
+source is. A block has ``block_words`` words, or a power of two fewer where the
+smallest target is less than ``FINE`` such blocks, so that small sources come
+near their targets too; the last block of a shard may be cut short.
 
 Selection. Documents are dealt to shards by a seeded hash and laid end to end
 in hash order. A quota larger than a shard takes the whole shard as often as it
-fits; the rest are distinct blocks picked by a seeded permutation of the
-shard's blocks, the last one cut short so that a shard gives exactly its quota.
-Blocks are never exploded: a document's share is arithmetic over the few blocks
-it touches.
+fits; the rest are distinct blocks of ``block_words`` picked by a seeded
+permutation of the shard's blocks, the last one cut short so that a shard gives
+exactly its quota. Blocks are never exploded: a document's share is arithmetic
+over the few blocks it touches.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import WORD, n_words, pick
+from graphloom.llm.common import WORD, apart, n_words, pick
 from graphloom.storage import materialize
 
 FANOUT = 1024
+#: Blocks of quota that the smallest target holds, at least, unless blocks are single words.
+FINE = 32
 #: Above this many sources the table of sources is joined by key instead of broadcast.
 MAX_BROADCAST_SOURCES = 100_000
 #: Strides of the block permutation: primes larger than any number of blocks in a shard.
@@ -131,28 +135,36 @@ def mix(
     spans (start word and words of what is taken once more, in order).
 
     Null or empty text: size 0, nothing taken. Null source: a source of its own,
-    ranked last. Null doc_ids are documents like others. Repeated rows are
-    counted each. An empty table gives an empty result. Same input, same result.
+    ranked last. Null doc_ids are documents like others. Repeated rows count
+    each: they are collapsed to a number and dealt out again one by one, so that
+    many of them spread over the shards. Sources come within a few blocks of
+    their targets, the smallest ones within a few words. An empty table gives
+    an empty result. Same input, same result.
     """
     slim = pick(docs, "doc_id", "text", "source")
     sized = materialize(slim.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), n_words(F.col("text")).alias("size")), "mix-sizes")
     sources = targets(source_weights(sized, cycle), max_repeats)
-    sources = sources.withColumn("_one", F.lit(1)).withColumn("_blocks_all", F.round(F.col("_all") / block_words).cast("long"))
+    # the least power of two that keeps FINE blocks in the smallest target
+    smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.partitionBy())
+    fine = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.coalesce(smallest, F.lit(1.0)) / FINE, F.lit(1.0)))))
+    sources = sources.withColumn("_one", F.lit(1)).withColumn("block", F.least(F.lit(block_words), fine).cast("long"))
+    sources = sources.withColumn("_blocks_all", F.round(F.col("_all") / F.col("block")).cast("long"))
     sources = sainte_lague(sources, ["_one"], ["source_id"], "target", "_blocks_all", "source_quota")
     shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("n_docs") / shard_docs), F.lit(1))
-    sources = materialize(sources.withColumn("n_shards", shards.cast("long")).select("source", "source_id", "source_size", "target", "source_quota", "n_shards"), "mix-sources")
+    sources = materialize(sources.withColumn("n_shards", shards.cast("long")).select("source", "source_id", "source_size", "target", "source_quota", "block", "n_shards"), "mix-sources")
     small = F.broadcast if sources.count() <= MAX_BROADCAST_SOURCES else lambda df: df
 
-    hashed = sized.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text_hash"))
-    dealt = hashed.join(small(sources), hashed["source"].eqNullSafe(sources["source"])).select(hashed["*"], "source_id", "source_size", "target", "source_quota", F.pmod("_h", F.col("n_shards")).alias("shard"))
+    rows = sized.groupBy("doc_id", "source", "text_hash", "size").agg(F.count(F.lit(1)).alias("repeats"))
+    rows = rows.withColumn("repeat", F.explode(F.sequence(F.lit(1).cast("long"), "repeats"))).drop("repeats")
+    hashed = materialize(rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text_hash", "repeat")), "mix-rows")
+    dealt = hashed.join(small(sources), hashed["source"].eqNullSafe(sources["source"])).select(hashed["*"], "source_id", "source_size", "target", "source_quota", "block", F.pmod("_h", F.col("n_shards")).alias("shard"))
     dealt = dealt.withColumn("shards", F.expr(f"shard div {FANOUT}"))
 
-    per_shard = dealt.groupBy("source_id", "shards", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
+    per_shard = dealt.groupBy("source_id", "shards", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"), F.first("block").alias("block"))
     groups = per_shard.groupBy("source_id", "shards").agg(F.sum("shard_size").alias("group_size"), F.first("source_quota").alias("source_quota"))
     groups = sainte_lague(groups, ["source_id"], ["shards"], "group_size", "source_quota", "group_quota").select("source_id", "shards", "group_quota")
     quotas = sainte_lague(per_shard.join(groups, ["source_id", "shards"]), ["source_id", "shards"], ["shard"], "shard_size", "group_quota", "quota")
-    most = F.expr(f"shard_size * {max_repeats} div {block_words}")
-    words = F.least(F.col("quota"), most) * block_words
+    words = F.least(F.col("quota") * F.col("block"), F.col("shard_size") * max_repeats)
     shift = F.xxhash64(F.lit(seed + 1), "source_id", "shard")
     quotas = (
         quotas.withColumn("_words", words)
@@ -165,7 +177,7 @@ def mix(
         .withColumn("_shift", F.pmod(shift, F.greatest(F.col("_blocks"), F.lit(1))))
         .select("source_id", "shards", "shard", "_copies", "_full", "_part", "_blocks", "_stride", "_shift")
     )
-    inside = Window.partitionBy("source_id", "shards", "shard").orderBy("_h", "doc_id", "text_hash")
+    inside = Window.partitionBy("source_id", "shards", "shard").orderBy("_h", "doc_id", "text_hash", "repeat")
     placed = dealt.withColumn("begin", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     out = placed.join(quotas, ["source_id", "shards", "shard"]).withColumn("spans", _overlaps(block_words))
     taken = F.col("_copies") * F.col("size") + F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
@@ -181,25 +193,23 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     decided = mix(docs, **options).filter("taken > 0").select("doc_id", "source", "text_hash", "copies", "spans")
     decided = materialize(decided, "mix-plan")
     key = ["doc_id", "source", "text_hash"]
-    keyed = docs.withColumn("_mix_hash", F.xxhash64("text"))
-    repeated = decided.groupBy(*key).count().filter("count > 1").limit(1).count() > 0
-    left = [keyed["doc_id"], keyed["source"], keyed["_mix_hash"]]
-    if repeated:
-        keyed = keyed.withColumn("_mix_no", F.row_number().over(Window.partitionBy("doc_id", "source", "_mix_hash").orderBy(F.lit(1))))
-        decided = decided.withColumn("no", F.row_number().over(Window.partitionBy(*key).orderBy("copies", F.size("spans"), "spans")))
-        left, key = [keyed["doc_id"], keyed["source"], keyed["_mix_hash"], keyed["_mix_no"]], [*key, "no"]
+    rows = apart(docs, "doc_id", "source", "text").withColumn("text_hash", F.xxhash64("text"))
+    if decided.groupBy(*key).count().filter("count > 1").limit(1).count() > 0:
+        rows = rows.withColumn("no", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
+        decided = decided.withColumn("no", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("copies"), F.desc(F.size("spans")), "spans")))
+        key = [*key, "no"]
     on = None
-    for a, b in zip(left, key):
-        same = a.eqNullSafe(decided[b])
+    for k in key:
+        same = rows[k].eqNullSafe(decided[k])
         on = same if on is None else on & same
-    joined = keyed.join(decided.select(*[F.col(k) for k in key], "copies", "spans").hint("shuffle_hash") if not repeated else decided, on)
-    pieces = F.regexp_extract_all(keyed["text"], F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    joined = rows.join(decided, on).select("row", rows["doc_id"], rows["source"], "text", "copies", "spans")
+    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     cut = lambda own: F.array_join(F.flatten(F.transform(F.col("spans"), lambda s: F.slice(own, (s["start"] + 1).cast("int"), s["words"].cast("int")))), "")
     part = F.element_at(F.transform(F.array(pieces), cut), 1)  # a lambda's variable: the text is split once, not for every span
-    whole = F.when(F.col("copies") > 0, F.array_repeat(keyed["text"], F.col("copies").cast("int"))).otherwise(F.array().cast("array<string>"))
+    whole = F.when(F.col("copies") > 0, F.array_repeat("text", F.col("copies").cast("int"))).otherwise(F.array().cast("array<string>"))
     texts = F.concat(whole, F.when(F.size("spans") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    keep = [keyed[c] for c in docs.columns if c not in ("text", "n_chars")]
-    flat = joined.select(*keep, F.explode(texts).alias("text"))
+    flat = joined.select("row", "doc_id", "source", F.explode(texts).alias("made"))
+    own = {"doc_id": F.col("doc_id"), "source": F.col("source"), "text": F.col("made")}
     if "n_chars" in docs.columns:
-        flat = flat.withColumn("n_chars", F.length("text").cast("long"))
-    return flat.select(*docs.columns)
+        own["n_chars"] = F.char_length("made").cast(docs.schema["n_chars"].dataType)
+    return flat.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import pick, small_batches
+from graphloom.llm.common import apart, pick, small_batches
 from graphloom.operators.components import connected_components
 from graphloom.storage import materialize
 
@@ -225,7 +225,10 @@ def linked(nodes: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
     """Links (u, v) between distinct fingerprints that suffice for the components of all links."""
     spark = nodes.sparkSession
     n = nodes.count()
-    sample = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    # the share of hashes that gives a sample of this size, so that no task sends more than its part of it
+    share = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) / float(1 << 30) < min(1.0, TREE_SAMPLE / max(n, 1))
+    found = nodes.filter(share).select("fp").toArrow()["fp"].to_numpy().astype(np.int64)
+    sample = np.random.default_rng(5).permutation(np.sort(found)).view(np.uint64)
     leaves = max(1, min(-(-n // shard), len(sample) // 8 or 1))
     tree = spark.sparkContext.broadcast(build_tree(sample, leaves))
     routed = nodes.select("fp").mapInArrow(_router(tree, radius), "shard int, visits boolean, fps binary")
@@ -258,13 +261,15 @@ def one_per_component(docs: DataFrame, **options) -> DataFrame:
 
     A document with a null doc_id stays only if its component holds no other.
     """
-    text_hash = F.xxhash64("text")
     # null ids come last; the least key of a component is the row that stays
-    key = F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"].alias("id"), text_hash.alias("h"))
-    found = simhash_components(docs.select(key.alias("doc_id"), "text"), **options)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id.id").alias("_keep"), F.col("doc_id.h").alias("_keep_hash")).distinct()
-    hashed = docs.withColumn("_hash", text_hash)
-    joined = hashed.join(keep, (F.col("_hash") == F.col("_keep_hash")) & docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
-    if hashed.groupBy("doc_id", "_hash").count().filter("count > 1").limit(1).count() > 0:
-        joined = joined.dropDuplicates(["doc_id", "_hash"])
-    return joined.select(*docs.columns)
+    rows = apart(docs, "doc_id", "text")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    rows = rows.withColumn("key", key)
+    found = simhash_components(rows.select(F.col("key").alias("doc_id"), "text"), **options)
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep")).distinct()
+    same = (F.col("key.h") == F.col("keep.h")) & F.col("key.id").eqNullSafe(F.col("keep.id"))
+    joined = rows.join(keep, same, "left_semi")
+    if rows.groupBy("key").count().filter("count > 1").limit(1).count() > 0:
+        joined = joined.dropDuplicates(["key"])
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    return joined.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

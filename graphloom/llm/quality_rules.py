@@ -5,7 +5,9 @@ counted by vote pattern, which leaves at most 3 ** rules rows whatever the
 corpus, and expectation-maximisation over these rows estimates each rule's accuracy on
 good and on bad documents (Dawid and Skene 1979; an abstaining rule says nothing)
 and how common good documents are. A document's posterior
-probability of being good replaces all-must-pass filtering.
+probability of being good replaces all-must-pass filtering. All rounds are one
+expression over one row that holds the patterns. Prior beliefs weigh a fixed
+number of documents, so any corpus of some size outweighs them.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from graphloom.storage import materialize
 
 SYMBOLS = "#*$%&|<>"  # of a regular-expression class
 WINDOW = 8
+#: Prior beliefs, as (weight in documents, share): a rule is right on good documents, on bad ones (rules look at
+#: different faults, so most say nothing of a bad document's fault), and documents are good.
+GOOD_PRIOR, BAD_PRIOR, SHARE_PRIOR = (50.0, 0.999), (1.0, 1 / 3), (10.0, 0.9)
 
 
 def _repeated(n_words: Column, hashes: Column) -> Column:
@@ -94,60 +99,83 @@ def _posterior(votes: list[str], prior: float, good: list[float], bad: list[floa
     return 1 / (1 + F.exp(-odds))
 
 
-def estimate(patterns: DataFrame, votes: list[str], rounds: int = 20, trust: float = 5.0, tolerance: float = 1e-4) -> tuple[float, list[float], list[float]]:
+def estimate(patterns: DataFrame, votes: list[str], *, rounds: int = 1000, tolerance: float = 1e-6) -> tuple[float, list[float], list[float]]:
     """The share of good documents and each rule's accuracy on good and on bad ones.
 
     ``patterns``: a row per vote pattern and its number of documents ``n``. It
-    begins with documents that some rule calls bad as likely bad, and each
-    round is one aggregation of that small table to one row of sums. Rules are
-    built to call few good documents bad, so the prior belief that they are
-    right on 999 of 1000 good ones weighs ``trust`` times what is seen; without
-    it, documents that only one rule objects to drift to the good side. For bad
-    documents the belief (right on 1 in 3) weighs one document.
+    begins with documents that some rule calls bad as likely bad and goes on
+    until no estimate moves by ``tolerance``, or for ``rounds`` rounds. The
+    beliefs of ``GOOD_PRIOR``, ``BAD_PRIOR`` and ``SHARE_PRIOR`` are added to what is seen.
     """
+    rules_ = range(len(votes))
+    let = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731 - value is worked out once
+
+    def maximised(counted: Column, before: Column | None) -> Column:
+        """Estimates from items (n, q, votes); q: the posterior of the pattern."""
+        fields = ["g", "b", *[f"{s}{j}_{vote}" for s in "gb" for j in rules_ for vote in (0, 1)]]
+        zero = F.struct(*[F.lit(0.0).alias(f) for f in fields])
+
+        def add(acc: Column, x: Column) -> Column:
+            own = {"g": x["q"] * x["n"], "b": (1 - x["q"]) * x["n"]}
+            parts = [(acc[s] + own[s]).alias(s) for s in "gb"]
+            parts += [(acc[f"{s}{j}_{vote}"] + F.when(x[f"v{j}"] == vote, own[s]).otherwise(0.0)).alias(f"{s}{j}_{vote}") for s in "gb" for j in rules_ for vote in (0, 1)]
+            return F.struct(*parts)
+
+        def made(z: Column) -> Column:
+            share = (z["g"] + SHARE_PRIOR[0] * SHARE_PRIOR[1]) / (z["g"] + z["b"] + SHARE_PRIOR[0])
+            good = [(z[f"g{j}_1"] + GOOD_PRIOR[0] * GOOD_PRIOR[1]) / (z[f"g{j}_0"] + z[f"g{j}_1"] + GOOD_PRIOR[0]) for j in rules_]
+            bad = [(z[f"b{j}_0"] + BAD_PRIOR[0] * BAD_PRIOR[1]) / (z[f"b{j}_0"] + z[f"b{j}_1"] + BAD_PRIOR[0]) for j in rules_]
+            named = {"share": share} | {f"g{j}": good[j] for j in rules_} | {f"b{j}": bad[j] for j in rules_}
+            moved = F.greatest(*[F.abs(x - before[k]) for k, x in named.items()]) if before is not None else F.lit(1.0)
+            return F.struct(*[x.alias(k) for k, x in named.items()], moved.alias("moved"))
+
+        return let(F.aggregate(counted, zero, add), made)
+
+    def judged(state: Column, items: Column) -> Column:
+        """The items with their posteriors under the estimates."""
+        odds = F.struct(
+            F.log(state["share"] / (1 - state["share"])).alias("base"),
+            *[F.log(state[f"g{j}"] / (1 - state[f"b{j}"])).alias(f"yes{j}") for j in rules_],
+            *[F.log((1 - state[f"g{j}"]) / state[f"b{j}"]).alias(f"no{j}") for j in rules_],
+        )
+
+        def one(w: Column, x: Column) -> Column:
+            logit = w["base"]
+            for j in rules_:
+                logit = logit + F.when(x[f"v{j}"] == 1, w[f"yes{j}"]).when(x[f"v{j}"] == 0, w[f"no{j}"]).otherwise(0.0)
+            return F.struct(x["n"].alias("n"), (1 / (1 + F.exp(-logit))).alias("q"), *[x[f"v{j}"].alias(f"v{j}") for j in rules_])
+
+        return let(odds, lambda w: F.transform(items, lambda x: one(w, x)))
+
     any_bad = F.lit(False)
     for v in votes:
         any_bad = any_bad | (F.col(v) == 0)
-    q: Column = F.when(any_bad, 0.1).otherwise(0.98)
-    prior, good, bad, before = 0.9, [], [], -1.0
-    for _ in range(rounds):
-        own, rest = q * F.col("n"), (1 - q) * F.col("n")
-        sums = [F.sum(own).alias("g"), F.sum(rest).alias("b")]
-        for v in votes:
-            for x in (0, 1):
-                hit = F.col(v) == x
-                sums += [F.sum(F.when(hit, own).otherwise(0.0)).alias(f"g_{v}_{x}"), F.sum(F.when(hit, rest).otherwise(0.0)).alias(f"b_{v}_{x}")]
-        row = patterns.agg(*sums).first()
-        prior = ((row["g"] or 0.0) + 9) / ((row["g"] or 0.0) + (row["b"] or 0.0) + 10)
-        seen = lambda side, v, x: row[f"{side}_{v}_{x}"] or 0.0
-        good, bad = [], []
-        for v in votes:
-            n = seen("g", v, 0) + seen("g", v, 1)
-            good.append((seen("g", v, 1) + (trust * n + 1) * 0.999) / (n + trust * n + 1))
-            bad.append((seen("b", v, 0) + 1 / 3) / (seen("b", v, 0) + seen("b", v, 1) + 1))
-        q = _posterior(votes, prior, good, bad)
-        if abs(prior - before) < tolerance:
-            break
-        before = prior
-    return prior, good, bad
+    item = F.struct(F.col("n").cast("double").alias("n"), F.when(any_bad, 0.1).otherwise(0.98).alias("q"), *[F.col(v).alias(f"v{j}") for j, v in enumerate(votes)])
+    row = patterns.agg(F.sort_array(F.collect_list(item)).alias("items"))
+    first = row.select("items", maximised(F.col("items"), None).alias("start"))
+    step = lambda state, _: F.when(state["moved"] < tolerance, state).otherwise(maximised(judged(state, F.col("items")), state))
+    found = first.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("start"), step).alias("s")).first()["s"]
+    return found["share"], [found[f"g{j}"] for j in rules_], [found[f"b{j}"] for j in rules_]
 
 
 def quality(docs: DataFrame, *, threshold: float = 0.5, min_words: int = 20, max_repeat_pct: int = 30) -> DataFrame:
     """One row per input row: the base counts, every rule's vote, quality (the posterior),
     base_failed and kept (quality >= threshold and not base_failed).
 
-    Null and empty texts have no words and fail the base rule. Repeated rows and
-    null doc_ids are judged like others; an empty table gives an empty result;
-    other columns are ignored.
+    The estimate is made over the documents that pass the base rule: the others
+    go anyway, and the rules on repeats would agree with that rule rather than
+    with the rest. Null and empty texts have no words and fail the base rule.
+    Repeated rows and null doc_ids are judged like others; an empty table gives
+    an empty result; other columns are ignored.
     """
     seen = features(docs)
     made = rules()
     for name, (yes, no) in made.items():
         seen = seen.withColumn(f"vote_{name}", F.when(F.col("n_words") == 0, -1).when(no, 0).when(yes, 1).otherwise(-1))
-    seen = materialize(seen, "quality-votes")
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
+    seen = materialize(seen.withColumn("base_failed", failed), "quality-votes")
     votes = [f"vote_{name}" for name in made]
-    patterns = materialize(seen.groupBy(*votes).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "quality-patterns")
+    patterns = seen.filter("not base_failed").groupBy(*votes).agg(F.count(F.lit(1)).alias("n"))
     prior, good, bad = estimate(patterns, votes)
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
-    judged = seen.withColumn("quality", _posterior(votes, prior, good, bad)).withColumn("base_failed", failed)
+    judged = seen.withColumn("quality", _posterior(votes, prior, good, bad))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))

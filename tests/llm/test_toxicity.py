@@ -66,25 +66,76 @@ def test_nothing_to_learn(spark):
 
 def test_cosines_over_all_words_are_exact():
     rng = random.Random(6)
-    names = [f"w{i}" for i in range(60)]
-    idf = np.array([rng.uniform(0, 5) for _ in names])
+    names = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
     texts = [rng.choices(names[: rng.choice([8, 60])], k=rng.randint(0, 9)) for _ in range(300)]
-    index = toxicity.WordExamples(names, idf, [])
-    index = toxicity.WordExamples(names, idf, [index.count(t) for t in texts])
-    assert 0 < len(index.frequent) < len(names)
+    vector = lambda words: next(toxicity.Vocabulary([]).read([" ".join(words)]))[1:]
+    hashed = {w: int(vector([w])[0][0]) for w in [*names, "unknown"]}
+    hashes = np.array(sorted({hashed[w] for t in texts for w in t}))
+    back = {h: w for w, h in hashed.items()}
+    df = {w: rng.randint(1, 400) for w in names}
+    index = toxicity.WordExamples(hashes, np.array([df[back[h]] for h in hashes.tolist()]), 500, [vector(t) for t in texts])
 
     def unit(t):
-        raw = {w: (1 + math.log(t.count(w))) * idf[int(w[1:])] for w in sorted(set(t)) if w in names}
+        raw = {w: (1 + math.log(t.count(w))) * math.log(501 / (1 + df.get(w, 1))) for w in sorted(set(t))}
         norm = math.sqrt(sum(x * x for x in raw.values()))
         return {w: x / norm for w, x in raw.items()} if norm else {}
 
     units = [unit(t) for t in texts]
-    queries = texts[:100] + [["unknown"], ["w1", "unknown"]]
-    for q, got in zip(queries, index.nearest([index.count(q) for q in queries], 15)):
+    found = 0
+    for q in texts[:150] + [["unknown"], ["wab", "unknown"]]:
         own = unit(q)
-        scored = [(min(1.0, round(sum(w * u.get(t, 0.0) for t, w in own.items()), 9)), i) for i, u in enumerate(units)]
-        want = sorted([x for x in scored if x[0] > 0], key=lambda x: (-x[0], x[1]))[:15]
-        assert len(got) == len(want) and all(math.isclose(a, b, abs_tol=2e-9) for (a, _), (b, _) in zip(got, want))
+        scored = [(min(1.0, round(sum(w * u.get(t, 0.0) for t, w in own.items()), 5)), i) for i, u in enumerate(units)]
+        want = sorted([x for x in scored if x[0] >= toxicity.FLOOR], key=lambda x: (-x[0], x[1]))[:15]
+        got = index.nearest(*vector(q), 15)
+        assert len(got) == len(want) and all(math.isclose(a, b, abs_tol=2e-5) for (a, _), (b, _) in zip(got, want))
+        found += len(got)
+    assert found > 300
+
+
+def test_score_is_that_of_brute_force(spark):
+    """Terms, frequencies, both votes and the curve, worked out anew over plain dicts."""
+    import re
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    tables = {r.doc_id: re.findall(r"[^\W\d_]+", (r.text or "").lower()) for r in docs.collect()}
+    tag = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id in tables}
+
+    def tf(words):
+        count = Counter()
+        for w in words:
+            count.update([w, *[f"{w[:k]}*" for k in (4, 5, 6, 7) if len(w) > k]])
+        return dict(count) | {f"{t}%{k}": 1 for t, n in count.items() if n >= 2 for k in range(5, 11) if n * 2**k >= len(words)}
+
+    counts = {d: tf(w) for d, w in tables.items()}
+    term_df, word_df = Counter(t for c in counts.values() for t in c), Counter(w for x in tables.values() for w in set(x))
+    known = {w for d in tag for w in tables[d]}
+    terms = set(model.terms)
+
+    def unit(raw):
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        return {k: x / norm for k, x in raw.items()} if norm else {}
+
+    by_term = {d: unit({t: (1 + math.log(n)) * math.log(1001 / (1 + term_df[t])) for t, n in c.items() if t in terms}) for d, c in counts.items()}
+    by_word = {d: unit({w: (1 + math.log(n)) * math.log(1001 / (1 + (word_df[w] if w in known else 1))) for w, n in Counter(x).items()}) for d, x in tables.items()}
+    ids = sorted(tag)
+    cosine = lambda a, b: sum(w * b[k] for k, w in a.items() if k in b)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    share = sum(tag.values()) / len(tag)
+    bare = [d for d in ids if not by_term[d]]
+    prior = (sum(tag[d] for d in bare) + share) / (len(bare) + 1)
+    for d in list(tables)[::9]:
+        votes = []
+        for vectors, floor, power, ground in ((by_term, 1e-12, 1, prior), (by_word, toxicity.FLOOR, 2, share)):
+            near = sorted(((round(cosine(vectors[d], vectors[e]), 5), e) for e in ids), key=lambda x: (-x[0], x[1]))
+            near = [(min(c, 1.0) ** power, tag[e]) for c, e in near[:15] if c >= floor]
+            votes.append((sum(c for c, t in near if t) + 0.25 * ground) / (sum(c for c, _ in near) + 0.25))
+        want = 1 / (1 + math.exp(-(model.slope * votes[0] + model.word_slope * votes[1] + model.offset)))
+        assert abs(got[d] - want) < 0.02, d
 
 
 def test_copies_without_a_term_are_found(spark):
@@ -103,3 +154,27 @@ def test_copies_without_a_term_are_found(spark):
     got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     assert all((got[3 * g].score >= 0.7) == (g % 4 == 0) and len(got[3 * g].evidence) >= 2 for g in range(80))
     assert {r.doc_id for r in toxicity.without_toxic(docs, known).collect()} == {r[0] for r in data if r[0] // 3 % 4}
+
+
+def test_texts_are_read_like_regular_expressions_do(monkeypatch):
+    """Words, counts, stems and rates of texts of all kinds, also when they are cut into pieces."""
+    import regex
+
+    from tests.llm.data import rows as awkward
+
+    texts = [r[1] or "" for r in awkward()] + ["", "Ünïcödé stems stemsa stemsab STEMS²x", "vile" * 9 + " vile vile"]
+    terms = ["vile", "stem*", "stems*", "stems", "the", "rive*", "rive*%5", "vile%5", "long*"]
+    want = []
+    for t in texts:
+        words = regex.findall(r"\p{L}+", t.lower())
+        tf = {}
+        for i, term in enumerate(terms):
+            plain, _, level = term.partition("%")
+            n = sum(w == plain if not plain.endswith("*") else len(w) >= len(plain) and w.startswith(plain[:-1]) for w in words)
+            if n and (not level or (n >= 2 and n * 32 >= len(words))):
+                tf[i] = 1 if level else n
+        want.append((tf, {toxicity.hash_of(w): words.count(w) for w in set(words)}))
+    for together in (1 << 19, 50):
+        monkeypatch.setattr(toxicity, "TOGETHER", together)
+        got = [(tf, dict(zip(h.tolist(), n.tolist()))) for tf, h, n in toxicity.Vocabulary(terms).read(texts)]
+        assert got == want

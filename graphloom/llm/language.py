@@ -5,16 +5,22 @@ against every language from left to right into longest matches: a phrase ends
 where the automaton has no transition, and the next one begins there. With c
 phrases, N training characters and n characters of text, c * log2(N) / n
 estimates the bits per character that the language's text needs to describe
-the new one (Ziv and Merhav 1993); the language that needs fewest wins.
+the new one (Ziv and Merhav 1993). So that languages of little text can be held
+against those of much, a phrase also costs the bits of its length (the entropy
+of lengths of mean n / c) and a letter that the language lacks those of a code
+point. The language that needs fewest bits wins.
 
 Greedy parsing never follows suffix links, so each automaton is kept as one
 flat transition table whose missing transitions already hold the restart. A
 batch of texts is cut into segments, and all segments step through all
-languages at once. A phrase ends at the end of a segment.
+languages at once. A segment is parsed again from the state in which the one
+before it ended, until all fit together, so that phrases run across the cuts as
+if the text had been parsed in one go.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from graphloom.llm.common import pick, small_batches
@@ -38,6 +45,8 @@ MAX_CLASSES = 96
 SEGMENT = 1024
 #: Bytes of text parsed together.
 BATCH_BYTES = 4 << 20
+#: Bits of a letter that the training text lacks.
+LITERAL = math.log2(0x110000)
 UNKNOWN = "und"
 _PAD, _SPACE, _OTHER = 0, 1, 2
 
@@ -107,6 +116,7 @@ class CrossParser:
     rare_keys: np.ndarray  # place of a state * number of rare letters + letter, sorted
     rare_goes: np.ndarray  # what ``table`` would hold there
     rare_first: np.ndarray  # by language and rare letter, what it would hold without a transition
+    lacking: np.ndarray  # by language and code, whether its training text lacks the letter
 
     @classmethod
     def fit(cls, texts: dict[str, list[str]]) -> CrossParser:
@@ -119,10 +129,13 @@ class CrossParser:
         rare = np.setdiff1d(seen, kept)
         width = len(kept) + 3
         tables, starts, at = [], [], 0
-        keys, targets, firsts = [], [], []
+        keys, targets, firsts, lacking = [], [], [], []
         for points in clean.values():
             goes = suffix_automaton(cls._codes(kept, rare, points).tolist())
             own = np.empty((len(goes), width), np.int32)
+            without = np.ones(width + len(rare), bool)
+            without[[_PAD, _SPACE, *goes[0]]] = False
+            lacking.append(without)
             first = np.full(width, ~np.int32(at), np.int32)  # a character that the language lacks is a phrase of its own
             lone = np.full(len(rare), ~np.int32(at), np.int32)
             for c, to in goes[0].items():
@@ -145,7 +158,7 @@ class CrossParser:
         keys, targets = np.concatenate([np.empty(0, np.int64), *keys]), np.concatenate([np.empty(0, np.int64), *targets])
         order = np.argsort(keys)
         firsts = np.array(firsts, np.int32).reshape(len(clean), len(rare))
-        return cls(list(clean), kept, table, np.array(starts, np.int32), np.log2([max(2, len(v)) for v in clean.values()]), rare, keys[order], targets[order].astype(np.int32), firsts)
+        return cls(list(clean), kept, table, np.array(starts, np.int32), np.log2([max(2, len(v)) for v in clean.values()]), rare, keys[order], targets[order].astype(np.int32), firsts, np.array(lacking, bool).reshape(len(clean), width + len(rare)))
 
     @staticmethod
     def _codes(kept: np.ndarray, rare: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -165,10 +178,10 @@ class CrossParser:
         at = np.minimum(np.searchsorted(self.rare_keys, key), len(self.rare_keys) - 1)
         return np.where(self.rare_keys[at] == key, self.rare_goes[at], default)
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases by text and language, and each text's characters (0: without a letter)."""
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases and lacking letters by text and language, and each text's characters (0: without a letter)."""
         if not texts:
-            return np.zeros((0, len(self.langs)), np.int64), np.zeros(0, np.int64)
+            return np.zeros((0, len(self.langs)), np.int64), np.zeros((0, len(self.langs)), np.int64), np.zeros(0, np.int64)
         lookup = np.full(sys.maxunicode + 1, _SPACE, np.int32) if not hasattr(self, "_lookup") else self._lookup
         if not hasattr(self, "_lookup"):
             lookup[letters()] = _OTHER
@@ -191,20 +204,46 @@ class CrossParser:
         segments = -(-n // SEGMENT)
         total = int(segments.sum())
         if not total or not self.langs:
-            return np.zeros((len(texts), len(self.langs)), np.int64), n
+            none = np.zeros((len(texts), len(self.langs)), np.int64)
+            return none, none, n
         flat = np.zeros(total * SEGMENT, np.int32)
-        for begin, own in zip((np.cumsum(segments) - segments) * SEGMENT, codes):
+        firsts = np.cumsum(segments) - segments
+        for begin, own in zip(firsts * SEGMENT, codes):
             flat[begin : begin + len(own)] = own
-        width = len(self.classes) + 3
+        rows = flat.reshape(total, SEGMENT)
+        entry = np.repeat(self.starts[:, None], total, axis=1)
+        count, end = self._parsed(rows, entry)
+        follows = np.ones(total, bool)
+        follows[firsts[segments > 0]] = False
+        follows = np.flatnonzero(follows)
+        while True:
+            changed = follows[(end[:, follows - 1] != entry[:, follows]).any(axis=0)]
+            if not len(changed):
+                break
+            entry[:, changed] = end[:, changed - 1]
+            count[:, changed], end[:, changed] = self._parsed(rows[changed], entry[:, changed])
+        ends = np.cumsum(segments)
+
+        def by_text(of: np.ndarray) -> np.ndarray:
+            sums = np.concatenate((np.zeros((len(self.langs), 1), np.int64), np.cumsum(of, axis=1, dtype=np.int64)), axis=1)
+            return (sums[:, ends] - sums[:, ends - segments]).T
+
+        lacking = np.array([own[rows].sum(axis=1) for own in self.lacking])
+        return by_text(count) + (n > 0)[:, None], by_text(lacking), n
+
+    def _parsed(self, rows: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end inside segments (``rows`` of codes) and the states at their ends, by language and segment."""
+        total, width = len(rows), len(self.classes) + 3
+        flat = rows.ravel()
         odd = np.flatnonzero(flat >= width)
         letter = flat[odd] - width
-        flat[odd] = _OTHER
+        flat = np.where(flat >= width, _OTHER, flat)
         order = np.argsort(odd % SEGMENT, kind="stable")
         odd, letter = odd[order], letter[order]
         until = np.searchsorted(odd % SEGMENT, np.arange(SEGMENT + 1)).tolist()
         grid = np.ascontiguousarray(flat.astype(np.uint8).reshape(total, SEGMENT).T)
-        state = np.repeat(self.starts[:, None], total, axis=1)
-        count = np.ones((len(self.langs), total), np.int32)
+        state = entry.copy()
+        count = np.zeros((len(self.langs), total), np.int32)
         table, sign = self.table, np.empty_like(state)
         for i, row in enumerate(grid):
             a, b = until[i], until[i + 1]
@@ -218,16 +257,17 @@ class CrossParser:
             np.right_shift(state, 31, out=sign)
             count -= sign
             state ^= sign
-        ends = np.cumsum(segments)
-        sums = np.concatenate((np.zeros((len(self.langs), 1), np.int64), np.cumsum(count, axis=1, dtype=np.int64)), axis=1)
-        return (sums[:, ends] - sums[:, ends - segments]).T, n
+        return count, state
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and bits per character in that language of each text."""
-        c, n = self.phrases(texts)
+        c, lacking, n = self.phrases(texts)
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-        bits = c * self.bits
+        p = np.minimum(1.0, c / np.maximum(n, 1)[:, None])  # one in so many characters ends a phrase
+        with np.errstate(divide="ignore", invalid="ignore"):
+            lengths = np.where((p > 0) & (p < 1), -np.log2(p) - (1 - p) / p * np.log2(1 - p), 0.0)
+        bits = c * (self.bits + lengths) + lacking * LITERAL
         best = bits.argmin(axis=1)
         low = bits[np.arange(len(texts)), best]
         shares = np.exp2(-np.minimum((bits - low[:, None]) / 4, 1000))
@@ -237,11 +277,13 @@ class CrossParser:
 
 
 def training_texts(docs: DataFrame, per_lang: int = TRAIN_CHARS, total: int = TRAIN_TOTAL) -> dict[str, list[str]]:
-    """A bounded sample of text by language: documents in the order of a hash of their text,
-    until ``per_lang`` characters are full (fewer if all languages would exceed ``total``).
+    """A bounded sample of whole texts by language: distinct texts in the order of a hash,
+    as many as fit into ``per_lang`` characters (fewer if all languages would exceed ``total``).
 
-    Documents are thinned by that hash and copies collapsed before they are
-    ordered, so a language that holds most rows is never gathered.
+    Texts longer than that budget are left out; a language that has no shorter
+    one learns from pieces spread over its shortest text. Texts are thinned by
+    the hash and copies collapsed before they are ordered, so a language that
+    holds most rows is never gathered.
     """
     h = F.xxhash64(F.lit(6), "text")
     slim = pick(docs, "text", "lang").filter("lang is not null and text is not null").withColumn("n", F.length("text"))
@@ -251,27 +293,32 @@ def training_texts(docs: DataFrame, per_lang: int = TRAIN_CHARS, total: int = TR
     if not n_langs:
         return {}
     budget = max(64, min(per_lang, total // n_langs))
-    sums = once.groupBy("lang").agg(F.sum(F.least("n", F.lit(budget))).alias("chars"))
+    short = once.filter((F.col("n") > 0) & (F.col("n") <= budget))
+    sums = materialize(short.groupBy("lang").agg(F.sum("n").alias("chars")), "language-sums")
     share = (F.pmod(h, F.lit(1 << 30)) / float(1 << 30)).alias("share")
-    thinned = slim.join(F.broadcast(sums) if n_langs <= 10_000 else sums, "lang").filter(F.col("n") > 0)
+    thinned = slim.filter((F.col("n") > 0) & (F.col("n") <= budget)).join(F.broadcast(sums) if n_langs <= 10_000 else sums, "lang")
     thinned = thinned.filter(share < 32.0 * budget / F.col("chars")).withColumn("h", h).dropDuplicates(["lang", "text"])
     order = Window.partitionBy("lang").orderBy("h", "text")
-    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    chosen = thinned.withColumn("before", before).filter(F.col("before") < budget)
+    filled = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    chosen = thinned.withColumn("filled", filled).filter(F.col("filled") <= budget).select("lang", "filled", "text")
+    without = once.filter("n > 0").join(sums, "lang", "left_anti").groupBy("lang").agg(F.min(F.struct("n", "h")).alias("least")).select("lang", "least.h")
+    long = slim.withColumn("h", h).join(F.broadcast(without) if n_langs <= 10_000 else without, ["lang", "h"]).dropDuplicates(["lang"])
+    size = min(SEGMENT, budget)
+    places = F.sequence(F.lit(0), F.lit(budget // size - 1))
+    spread = F.array_join(F.transform(places, lambda i: F.substring("text", (F.floor(i * F.col("n") / (budget // size)) + 1).cast("int"), F.lit(size))), " ")
     out: dict[str, list[str]] = {}
-    cut = F.substring("text", F.lit(1), F.lit(budget) - F.col("before").cast("int"))
-    for row in chosen.select("lang", "before", cut.alias("text")).orderBy("lang", "before").toLocalIterator():
+    for row in chosen.unionByName(long.select("lang", F.lit(0).alias("filled"), spread.alias("text"))).orderBy("lang", "filled").toLocalIterator():
         out.setdefault(row.lang, []).append(row.text)
     return out
 
 
-def _predictor(parser):
+def _predictor(parser, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: CrossParser = parser.value
         rows = ((d, t.as_py() or "") for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1)))
         for chunk in chunks(rows, BATCH_BYTES):
             langs, score, bits = model.predict([t for _, t in chunk])
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in chunk], pa.int64()), pa.array(langs, pa.string()), pa.array(score), pa.array(bits)], ["doc_id", "lang_pred", "score", "bits_per_char"])
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in chunk], kind), pa.array(langs, pa.string()), pa.array(score), pa.array(bits)], ["doc_id", "lang_pred", "score", "bits_per_char"])
 
     return run
 
@@ -281,13 +328,14 @@ def identify(docs: DataFrame, parser: CrossParser) -> DataFrame:
 
     Null text and text without a letter: ``und`` with score 0; so is everything
     if no language was learned. Ties go to the language first in code point
-    order. Null doc_ids and repeated rows are kept as they are; an empty table
-    gives an empty result; other columns are ignored. One pass, no shuffle; what
+    order. doc_ids may be of any type; null ones and repeated rows are kept as
+    they are; an empty table gives an empty result; other columns are ignored. One pass, no shuffle; what
     is broadcast is bounded by the training characters.
     """
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(parser)
-    return pick(docs, "doc_id", "text").mapInArrow(_predictor(model), "doc_id long, lang_pred string, score double, bits_per_char double")
+    kind = docs.schema["doc_id"].dataType
+    return pick(docs, "doc_id", "text").mapInArrow(_predictor(model, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, lang_pred string, score double, bits_per_char double")
 
 
 def held_out(doc_id, folds: int, fold: int):

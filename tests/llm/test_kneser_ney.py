@@ -8,14 +8,13 @@ from graphloom.llm import kneser_ney as kn
 from tests.llm.data import SCHEMA, frame, rows
 
 
-def brute_model(texts, order=5):
+def brute_model(texts, order=4):
     """Interpolated modified Kneser-Ney over plain dicts; a function gram -> probability."""
-    raw = Counter(g for t in texts for w in t.split() for g in kn.word_grams(w, order))
+    raw = Counter(g for t in texts for g in kn.text_grams(kn.normal(t), order))
     counts = {order: {g: n for g, n in raw.items() if len(g) == order}}
     for k in range(order - 1, 0, -1):
         c = Counter(g[1:] for g in counts[k + 1])
-        own = {g: n for g, n in c.items() if k == 1 or not g.startswith(" ")}
-        own |= {g: n for g, n in raw.items() if len(g) == k and k > 1 and g.startswith(" ")}
+        own = c | {g: n for g, n in raw.items() if len(g) == k and k > 1 and g.startswith("\n")}
         counts[k] = own
     tables = {}
     for k, own in counts.items():
@@ -45,17 +44,17 @@ def brute_model(texts, order=5):
 
 
 def brute_perplexity(p, text):
-    grams = [g for w in (text or "").split() for g in kn.word_grams(w)]
+    grams = kn.text_grams(kn.normal(text))
     return (math.exp(-math.fsum(math.log(p(g)) for g in grams) / len(grams)), len(grams)) if grams else (None, 0)
 
 
 def test_probabilities_sum_to_one():
     texts = [r[1] for r in rows() if r[1] and len(r[1]) < 3000]
     p = brute_model(texts)
-    chars = {c for t in texts for c in t if not c.isspace()} | {" "}
-    for h in ("", "t", " th", "rive", " the"):
-        assert sum(p(h + c) for c in chars) + (0 if h else 0) <= 1.0001
-    assert sum(p(" the" + c) for c in chars) > 0.9
+    chars = {c for t in texts for c in t if not c.isspace()} | {" ", "\n"}
+    for h in ("", "t", " th", "riv", "the", "\n"):
+        assert sum(p(h + c) for c in chars) <= 1.0001
+    assert sum(p("the" + c) for c in chars) > 0.9
 
 
 def test_perplexities_match_brute_force(spark):
@@ -73,23 +72,37 @@ def test_perplexities_match_brute_force(spark):
         assert a[3] is None or a[3] == pytest.approx(b[3], rel=1e-5)
 
 
-def test_packing():
-    rng = random.Random(1)
-    words = list({"".join(rng.choices("abcdé中\U0001f600#", k=rng.randint(1, 9))) for _ in range(500)})
-    grams = kn.distinct_grams(words)
-    assert sorted(grams) == sorted({g for w in words for g in kn.word_grams(w)}) and len(set(grams)) == len(grams)
+def test_packing(monkeypatch):
     import numpy as np
 
-    logp = {g: rng.uniform(-9, 0) for g in grams}
-    got = kn.word_scores(words, np.array([logp[g] for g in grams]))
-    many = ["".join(map(chr, range(0x4E00 + i, 0x4E00 + i + 6))) for i in range(0, 6000, 5)]  # more characters than can be numbered
+    rng = random.Random(1)
+    texts = [kn.normal(" ".join("".join(rng.choices("abcdé中\U0001f600#", k=rng.randint(1, 9))) for _ in range(rng.randint(0, 30)))) for _ in range(200)]
+    many = [kn.normal("".join(map(chr, range(0x10000 + i, 0x10000 + i + 700)))) for i in range(0, 70_000, 600)]  # more characters than can be numbered
     assert kn.alphabet(many) is None
-    for w, s in zip(words, got):
-        assert s == pytest.approx(sum(logp[g] for g in kn.word_grams(w)))
-    slow = kn.distinct_grams(many)
-    told = kn.word_scores(many, np.arange(len(slow)) / -7.0)
-    at = {g: i for i, g in enumerate(slow)}
-    assert told[3] == pytest.approx(sum(at[g] / -7.0 for g in kn.word_grams(many[3])))
+    for own in (texts, many):
+        want = Counter(g for s in own for g in kn.text_grams(s))
+        logp = {g: rng.uniform(-9, 0) for g in sorted(want)}
+        for size in (1 << 20, 50):  # also when texts are cut
+            monkeypatch.setattr(kn, "_SLICE", size)
+            grams, counts = kn.counted_grams(own)
+            assert dict(zip(grams, counts)) == want and len(grams) == len(want)
+            got = kn.text_scores(own, np.array([logp[g] for g in grams]))
+            assert got == pytest.approx([sum(logp[g] for g in kn.text_grams(s)) for s in own])
+
+
+def test_order_of_words_matters(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en'").limit(200)
+    model = kn.KneserNey.train(docs)
+    text = "the river runs by the old stone house and the garden is green in the spring " * 3
+    rng = random.Random(2)
+    words = text.split()
+    mixed = " ".join(rng.sample(words, len(words)))
+    one = spark.createDataFrame([(1, text, "en"), (2, mixed, "en")], "doc_id long, text string, lang string")
+    a, b = sorted(kn.perplexities(one, model).collect(), key=lambda r: r.doc_id)
+    assert a.n_predicted == b.n_predicted and a.perplexity != b.perplexity
+    trained = kn.KneserNey.train(spark.createDataFrame([("en", text)] * 3, "lang string, text string"))
+    a, b = sorted(kn.perplexities(one, trained).collect(), key=lambda r: r.doc_id)
+    assert a.perplexity < b.perplexity
 
 
 def test_junk_goes_and_prose_stays(spark):
@@ -111,7 +124,7 @@ def test_awkward_rows(spark):
         elif r.lang is None:  # no trusted text without a language
             assert r.kept and r.perplexity is None
         else:
-            assert r.kept == (r.low <= r.perplexity <= r.high)
+            assert r.low is None or r.kept == (r.low <= r.perplexity <= r.high)
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert all(r.kept == (r.n_predicted > 0) for r in kn.quality_by_perplexity(docs, none).collect())
     assert kn.quality_by_perplexity(spark.createDataFrame([], SCHEMA), labels).count() == 0

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom.llm.common import pick, small_batches
 from graphloom.llm.pieces import PieceMemo, chunks
@@ -183,7 +184,7 @@ class PairIndexBpe:
 _encoders: dict[int, tuple[PairIndexBpe, PieceMemo]] = {}
 
 
-def _coder(model, with_ids: bool):
+def _coder(model, with_ids: bool, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
@@ -198,7 +199,7 @@ def _coder(model, with_ids: bool):
             names: list = []
 
             def packed() -> pa.RecordBatch:
-                cols = [pa.array(names, pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b)]
+                cols = [pa.array(names, kind), pa.array(n, pa.int64()), pa.array(a), pa.array(b)]
                 return pa.RecordBatch.from_arrays([*cols, *([pa.array(kept, pa.binary())] if with_ids else [])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
             for (d, _), ids in zip(chunk, memo.texts([t for _, t in chunk])):
@@ -217,12 +218,13 @@ def bpe_round_trip(docs: DataFrame, model_path: str, *, with_ids: bool = False)
     """Encode every whole text and decode it again: doc_id, n_tokens, ids_sha256 (of the ids as
     little-endian unsigned 32-bit integers), decoded_sha256, and the ids themselves on request.
 
-    Null and empty texts have no ids and decode to the empty text. Null doc_ids
-    and repeated rows are kept as they are; an empty table gives an empty
+    Null and empty texts have no ids and decode to the empty text. doc_ids may be
+    of any type; null ones and repeated rows are kept as they are; an empty table gives an empty
     result; other columns are ignored. One pass, no shuffle.
     """
     small_batches(docs.sparkSession)
     with open(model_path, encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else "")
-    return pick(docs, "doc_id", "text").mapInArrow(_coder(model, with_ids), schema)
+    kind = docs.schema["doc_id"].dataType
+    schema = f"doc_id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else "")
+    return pick(docs, "doc_id", "text").mapInArrow(_coder(model, with_ids, to_arrow_type(kind)), schema)

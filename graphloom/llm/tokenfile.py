@@ -221,19 +221,25 @@ def encode_to_files(docs: DataFrame, model_path: str, *, end_id: int = 1, frame_
     """Encode every whole text, add ``end_id`` and write token files in ascending doc_id order.
 
     Returns the folder and the manifest (part, path, n_docs, n_ids), one row per
-    file. Null text is empty: only the end id. Null doc_ids come first; rows
-    that repeat a doc_id are ordered by text. An empty table writes no file;
+    file. Null text is empty: only the end id. doc_ids are integers (other types:
+    a ValueError); null ones come first; rows that repeat a doc_id are ordered by
+    text, and many of them spread over files. An empty table writes no file;
     other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     with open(model_path, encoding="utf-8") as f:
         text = f.read()
-    vocab = json.loads(text)["model"]["vocab"]
-    width = 2 if max([end_id, *vocab.values()]) < 60_000 else 4
+    if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("token files hold integer doc_ids")
+    made = json.loads(text)
+    largest = max([end_id, *made["model"]["vocab"].values(), *(t["id"] for t in made.get("added_tokens") or ())])
+    width = 2 if largest < 1 << 16 else 4
     folder = folder or scratch_path(spark, "tokens")
     model = spark.sparkContext.broadcast(text)
-    ordered = pick(docs, "doc_id", "text").repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    ordered = pick(docs, "doc_id", "text").withColumn("h", F.substring("text", 1, 64))
+    order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("h")]
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order, F.asc_nulls_first("text")).drop("h")
     return folder, materialize(ordered.mapInArrow(_writer(model, folder, end_id, frame_ids, width), _MANIFEST), "manifest")
 
 

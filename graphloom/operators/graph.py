@@ -65,9 +65,14 @@ def subgraph_nodes(adj: DataFrame, seeds: DataFrame, hops: int = 1, max_nodes: i
 
 def induced_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
     """(query_id, u, v, type, weight): edges with both ends among a query's members (query_id, node)."""
-    m = members.select("query_id", "node")
-    one = edges.join(m.withColumnRenamed("node", "u"), "u")
-    return one.join(m.withColumnRenamed("node", "v"), ["query_id", "v"]).select("query_id", "u", "v", "type", "weight")
+    m = members.select("query_id", "node").distinct()
+    among = m.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    # an edge meets the queries of the end that fewer have, so a hub of many queries isn't multiplied by its edges
+    both = edges.join(among.select(F.col("node").alias("u"), F.col("n").alias("n_u")), "u").join(among.select(F.col("node").alias("v"), F.col("n").alias("n_v")), "v")
+    first = F.col("n_u") <= F.col("n_v")
+    turned = both.select("u", "v", "type", "weight", F.when(first, F.col("u")).otherwise(F.col("v")).alias("node"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("other"))
+    one = turned.join(m, "node").drop("node").withColumnRenamed("other", "node")
+    return one.join(m, ["query_id", "node"], "left_semi").select("query_id", "u", "v", "type", "weight")
 
 
 def shortest_paths(members: DataFrame, inside: DataFrame, seeds: DataFrame, max_length: int) -> DataFrame:

@@ -15,7 +15,7 @@ from graphloom.functions.text import brand_key
 from graphloom.operators import construct, features, graph, similarity
 from graphloom.operators.evaluate import EVAL_QUERIES
 from graphloom.sources.catalog import from_star_schema
-from graphloom.storage import materialize
+from graphloom.storage import materialize, stamp
 
 #: The synthetic vectors are far apart; the API's default threshold would link none of them.
 THRESHOLD = 0.35
@@ -30,7 +30,10 @@ class Tables:
     embeddings: DataFrame
 
 
-_built: dict[tuple[str, str], Tables] = {}
+_built: dict[tuple, Tables] = {}
+_catalogs: dict[tuple, DataFrame] = {}
+#: Tables that the graph is built from.
+_FROM = ("part", "lineitem", "nation", "region", "embeddings")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,29 +50,40 @@ def similar_writes(catalog: DataFrame, products: DataFrame, vectors: DataFrame)
 
 
 def build(spark: SparkSession, sf_dir: str) -> Tables:
-    catalog = materialize(from_star_schema(spark, sf_dir), "catalog")
-    log = materialize(construct.edge_log(catalog), "edge-log")
-    nodes = materialize(construct.nodes(catalog, log), "nodes")
-    products = materialize(construct.products(catalog), "products")
+    items = catalog(spark, sf_dir)
+    log = materialize(construct.edge_log(items), "edge-log")
+    nodes = materialize(construct.nodes(items, log), "nodes")
+    products = materialize(construct.products(items), "products")
     vectors = embeddings(spark, sf_dir)
-    more = materialize(features.feature_edges(products).unionByName(similar_writes(catalog, products, vectors)), "more-writes")
+    more = materialize(features.feature_edges(products).unionByName(similar_writes(items, products, vectors)), "more-writes")
     terms = more.filter("type = 'has_feature'").groupBy(F.col("v").alias("node_id")).agg(F.min("seq").alias("node_ord"))
     null = lambda t, n: F.lit(None).cast(t).alias(n)
     terms = terms.select("node_id", F.lit("feature").alias("type"), F.expr("substring(node_id, 6)").alias("name"), null("string", "description"), null("string", "price"), null("double", "rating"), "node_ord")
     nodes = materialize(nodes.unionByName(terms), "nodes")
     edges = materialize(construct.upsert(log.unionByName(more)), "edges")
-    return Tables(catalog, nodes, edges, graph.adjacency(edges), vectors)
+    return Tables(items, nodes, edges, graph.adjacency(edges), vectors)
 
 
 def tables(spark: SparkSession, sf_dir: str, fresh: bool = False) -> Tables:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The built graph, kept for the session until one of its tables changes."""
+    key = _key(spark, sf_dir)
     if fresh or key not in _built:
+        if fresh:
+            _catalogs.pop(key, None)
         _built[key] = build(spark, sf_dir)
     return _built[key]
 
 
+def _key(spark: SparkSession, sf_dir: str) -> tuple:
+    return (spark.sparkContext.applicationId, sf_dir, *(stamp(spark, f"{sf_dir}/{t}.parquet") for t in _FROM))
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables(spark, sf_dir).catalog
+    """The catalog alone, without the graph."""
+    key = _key(spark, sf_dir)
+    if key not in _catalogs:
+        _catalogs[key] = materialize(from_star_schema(spark, sf_dir), "catalog")
+    return _catalogs[key]
 
 
 def seeds(t: Tables) -> DataFrame:

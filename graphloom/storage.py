@@ -8,6 +8,7 @@ columns prunable.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    """The folder named in ``spark.checkpoint.dir``; where it is unset, a temporary one for a session in one process."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(sc, "_graphloom_shared", None)
         if folder is None:
             folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")
@@ -35,6 +38,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _found(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, hadoop = _found(spark, path)
+    return store.exists(hadoop)
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table, which change with it."""
+    store, hadoop = _found(spark, path)
+    if not store.exists(hadoop):
+        return ()
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in store.listStatus(hadoop)))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to shared storage and return a scan of what was written."""
     path = scratch_path(df.sparkSession, label)

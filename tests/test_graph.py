@@ -182,3 +182,80 @@ def test_multi_hop(spark):
     assert {r.query_id: r.note for r in notes.collect()} == {2: linking.NO_SEEDS, 3: linking.NO_ENTITIES}
     links = linking.link(n, spark.createDataFrame([(1, 0, "camera sony")], "query_id int, entity_rank int, entity string")).collect()
     assert [r.node for r in links] == ["p1", "brand:sony"] or [r.node for r in links][0] in ("p1", "brand:sony")
+
+
+def sequential(n, edges, resolution, seed=0):
+    """Louvain: one node after the other takes its best community; communities become nodes, until nothing gains."""
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(seed)
+    label, graph_edges = list(range(n)), [(u, v, w) for u, v, w in edges]
+    while True:
+        near, k = defaultdict(lambda: defaultdict(float)), defaultdict(float)
+        for u, v, w in graph_edges:
+            k[u] += w
+            k[v] += w
+            if u != v:
+                near[u][v] += w
+                near[v][u] += w
+        two_m, own = sum(k.values()), {x: x for x in k}
+        total = dict(k)
+        moved, any_moved = True, False
+        while moved:
+            moved = False
+            for x in rng.sample(sorted(k), len(k)):
+                to = defaultdict(float)
+                for y, w in near[x].items():
+                    to[own[y]] += w
+                total[own[x]] -= k[x]
+                gain = lambda c: to[c] - resolution * k[x] * total[c] / two_m
+                best = max([own[x], *to], key=lambda c: (gain(c), c == own[x]))
+                if gain(best) > gain(own[x]) + 1e-12:
+                    own[x], moved, any_moved = best, True, True
+                total[own[x]] += k[x]
+        if not any_moved:
+            return label
+        label = [own.get(c, c) for c in label]
+        merged = defaultdict(float)
+        for u, v, w in graph_edges:
+            merged[min(own[u], own[v]), max(own[u], own[v])] += w
+        graph_edges = [(u, v, w) for (u, v), w in merged.items()]
+
+
+def test_communities_are_as_good_as_sequential_ones(spark):
+    import random
+
+    rng = random.Random(12)
+    n, resolution = 90, 1.0
+    data = [(u, v, 1.0) for u in range(n) for v in range(u) if rng.random() < (0.35 if u % 5 == v % 5 else 0.03)]
+    e = spark.createDataFrame(data, "u long, v long, w double")
+    every = spark.range(n).select(F.col("id").alias("node"))
+    ours = communities.modularity(e, communities.partition(every, e, resolution), resolution)
+    theirs = []
+    for seed in range(3):
+        label = sequential(n, data, resolution, seed)
+        theirs.append(communities.modularity(e, spark.createDataFrame(list(enumerate(label)), "node long, community long"), resolution))
+    assert ours > 0.97 * max(theirs) > 0.2
+
+
+def test_linked_products_and_some_reviews(spark):
+    from graphloom.sources.catalog import linked_only, sample_reviews
+
+    shape = "parent_asin string, title string, details map<string,string>, categories array<array<string>>, bought_together array<string>, also_buy array<string>"
+    rows = [
+        ("a", "A", {}, [], ["x"], None), ("b", "B", {"Brand": "k"}, None, None, None), ("c", "C", {}, [["t"]], [], []), ("d", "D", None, [], [], ["y"]),
+        ("e", "E", {"Size": "1"}, [], [], []), ("f", "", {"Brand": "k"}, [["t"]], ["x"], ["y"]), ("g", None, {"Brand": "k"}, [], [], []), ("h", "H", None, None, None, None),
+    ]
+    assert sorted(r.parent_asin for r in linked_only(spark.createDataFrame(rows, shape)).collect()) == ["a", "b", "c", "d"]
+    reviews = spark.createDataFrame([(p, i) for p, n in (("a", 5), ("b", 2)) for i in range(n)], "parent_asin string, review_ord int")
+    assert sorted(map(tuple, sample_reviews(reviews.repartition(3)).collect())) == [("a", 0), ("a", 1), ("a", 2), ("b", 0), ("b", 1)]
+
+
+def test_induced_edges_around_a_hub(spark):
+    e = edges(spark, [("hub", f"p{i}") for i in range(30)] + [("p1", "p2"), ("p3", "p3")], "has_brand")
+    members = spark.createDataFrame([(q, "hub") for q in range(8)] + [(q, f"p{q}") for q in range(8)] + [(1, "p2"), (3, "p3")], "query_id int, node string")
+    got = sorted((r.query_id, r.u, r.v) for r in graph.induced_edges(e, members).collect())
+    ends = {(r.u, r.v) for r in e.collect()}
+    own = {q: {n for x, n in map(tuple, members.collect()) if x == q} for q in range(8)}
+    assert got == sorted((q, u, v) for q in own for u, v in ends if u in own[q] and v in own[q])

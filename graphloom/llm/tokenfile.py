@@ -22,8 +22,10 @@ import io
 import json
 import os
 import struct
+import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from typing import BinaryIO
 
@@ -171,15 +173,19 @@ def library_encoder(model: str) -> Callable[[bytes], bytes]:
     tokenizer = Tokenizer.from_str(model)
     tokenize, letters = tokenizer.model.tokenize, byte_symbols()
 
+    def packed(ids: list[int]) -> bytes:
+        made = array("I", ids)
+        if sys.byteorder == "big":
+            made.byteswap()
+        return made.tobytes()
+
     def encode(piece: bytes) -> bytes:
         if piece.isalpha() and piece.islower():
-            return struct.pack(f"<{len(made := tokenize(piece.decode()))}I", *[x.id for x in made])
+            return packed([x.id for x in tokenize(piece.decode())])
         text = piece.decode("utf-8", "replace")
         if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
-            made = tokenize("".join(map(letters.__getitem__, piece)))
-            return struct.pack(f"<{len(made)}I", *[x.id for x in made])
-        ids = tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+            return packed([x.id for x in tokenize("".join(map(letters.__getitem__, piece)))])
+        return packed(tokenizer.encode(text, add_special_tokens=False).ids)
 
     return encode
 
@@ -237,7 +243,7 @@ def encode_to_files(docs: DataFrame, model_path: str, *, end_id: int = 1, frame_
     width = 2 if largest < 1 << 16 else 4
     folder = folder or scratch_path(spark, "tokens")
     model = spark.sparkContext.broadcast(text)
-    ordered = pick(docs, "doc_id", "text").withColumn("h", F.substring("text", 1, 64))
+    ordered = pick(docs, "doc_id", "text").withColumn("h", F.substring("text", 1, 16))
     order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("h")]
     ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order, F.asc_nulls_first("text")).drop("h")
     return folder, materialize(ordered.mapInArrow(_writer(model, folder, end_id, frame_ids, width), _MANIFEST), "manifest")

@@ -78,3 +78,19 @@ def test_each_component_keeps_one_row_without_or_under_one_id(spark):
     data = [(i, t, "en", "a", len(t), *["clash"] * 2, 7, *["clash"] * 3) for i, t in [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[2])]]
     kept = simhash.one_per_component(frame(spark, data)).collect()
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("None", texts[0]), ("None", texts[1]), ("7", texts[2]), ("7", texts[3]), ("7", texts[4])])
+
+
+def test_ids_of_text_and_clashing_names(spark):
+    names = ["_keep", "_rank", "_hash", "keep", "key", "row", "h", "id", "fp", "component", "least", "u", "v"]
+    data = [(str(r[0]) if r[0] is not None else None, r[1], *["x"] * len(names)) for r in rows()]
+    docs = spark.createDataFrame(data, "doc_id string, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = simhash.one_per_component(docs)
+    assert kept.columns == docs.columns
+    groups = brute_components([brute_fingerprint(r[1]) for r in data])
+    got = kept.collect()
+    assert len(got) == len(set(groups)) and all(r.key == "x" for r in got)
+    least = {}
+    for r, c in zip(data, groups):
+        if r[0] is not None:
+            least[c] = min(least.get(c, r[0]), r[0])
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(least.get(c)) for c in set(groups))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from graphloom.config import DEFAULTS
 from graphloom.operators.components import connected_components
+from graphloom.operators.lookup import containing
 from graphloom.storage import materialize
 
 
@@ -182,13 +183,15 @@ def query_nodes(nodes: DataFrame, adj: DataFrame, entities: DataFrame, max_seeds
 
     Entities of three characters or more are looked for in all node names,
     ignoring case; the first ``max_seeds`` nodes in node order and the first
-    ``max_neighbours`` of each are drawn. Queries are few, so they are broadcast.
+    ``max_neighbours`` of each are drawn.
     """
-    asked = entities.filter(F.length("entity") >= 3).select("query_id", F.lower("entity").alias("needle"))
-    hits = nodes.join(F.broadcast(asked), F.contains(F.lower("name"), F.col("needle"))).groupBy("query_id", "node_id").agg(F.min("node_ord").alias("node_ord"))
+    asked = entities.filter(F.length("entity") >= 3).select("query_id", F.lower("entity").alias("needle")).distinct()
+    held = containing(nodes.select("node_id", F.lower("name").alias("name"), "node_ord"), "name", asked)
+    first = F.row_number().over(Window.partitionBy("needle").orderBy("node_ord", "node_id"))
+    hits = held.withColumn("first", first).filter(F.col("first") <= max_seeds).join(asked, "needle").groupBy("query_id", "node_id").agg(F.min("node_ord").alias("node_ord"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("node_ord", "node_id"))
     seeds = hits.withColumn("seed", rank).filter(F.col("seed") <= max_seeds).select("query_id", F.col("node_id").alias("node"), "seed")
-    entries = first_neighbours(adj.join(F.broadcast(seeds.select("node").distinct()), "node", "left_semi"), max_neighbours)
+    entries = first_neighbours(adj.join(seeds.select("node").distinct(), "node", "left_semi"), max_neighbours)
     near = seeds.join(entries, "node").select("query_id", F.col("nbr").alias("node"), "seed", "pos")
     every = seeds.select("query_id", "node", "seed", F.lit(0).alias("pos")).unionByName(near).groupBy("query_id", "node").agg(F.min(F.struct("seed", "pos")).alias("place"))
     return every.withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("place", "node"))).select("query_id", "node", "ord")

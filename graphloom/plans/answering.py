@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.fuzzy import token_set_ratio_udf
-from graphloom.operators import answer, evaluate, linking, retrieve, similarity
+from graphloom.operators import answer, evaluate, linking, lookup, retrieve, similarity
 from graphloom.plans import inputs
 from graphloom.plans.construction import query
 from graphloom.plans.inputs import GRAPH, tables
@@ -246,13 +246,11 @@ _SQUEEZED = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
     SELECT item_id, count(*)::BIGINT AS n_documents FROM names JOIN answers ON {_prefix_sql('w')} GROUP BY 1"""
 )
 def cites_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents cite each benchmark text. The texts to look for are few and asked in rounds that are broadcast."""
-    from functools import reduce
-
+    """How many documents cite each benchmark text."""
     names = materialize(inputs.table(spark, sf_dir, "benchmark").filter("text is not null").select("item_id", evaluate.needle(F.split(evaluate.normal(F.col("text")), " ")).alias("needle")), "names")
     docs = inputs.table(spark, sf_dir, "documents").filter("text is not null").select(evaluate.normal(F.col("text")).alias("answer"))
-    parts = [docs.join(part, F.contains("answer", "needle")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n")) for part in retrieve.rounds(names)]
-    return reduce(DataFrame.unionByName, parts).groupBy("item_id").agg(F.sum("n").alias("n_documents"))
+    found = lookup.containing(docs, "answer", names).groupBy("needle").agg(F.count(F.lit(1)).alias("n_documents"))
+    return names.join(found, "needle").groupBy("item_id").agg(F.sum("n_documents").alias("n_documents"))
 
 
 @query(

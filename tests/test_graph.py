@@ -259,3 +259,45 @@ def test_induced_edges_around_a_hub(spark):
     ends = {(r.u, r.v) for r in e.collect()}
     own = {q: {n for x, n in map(tuple, members.collect()) if x == q} for q in range(8)}
     assert got == sorted((q, u, v) for q in own for u, v in ends if u in own[q] and v in own[q])
+
+
+def test_lookup_matches_brute_force(spark):
+    import random
+
+    from graphloom.functions.fuzzy import token_set_ratio
+    from graphloom.operators import lookup
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcé😀") for _ in range(rng.randrange(1, 5)))
+    texts = [" ".join(word() for _ in range(rng.randrange(0, 6))) for _ in range(150)] * 2 + [None, "", "  a  b "]
+    needles = [" ".join(word() for _ in range(rng.randrange(1, 4))) for _ in range(60)] + ["", None, "a", "a", "b a", " "]
+    t = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    n = spark.createDataFrame([(x,) for x in needles], "needle string")
+    got = lookup.containing(t, "t", n).collect()
+    told = {(i, x) for i, text in enumerate(texts) for x in needles if x and text is not None and x in text}
+    assert {(r.i, r.needle) for r in got} == told and len(got) == len(told)
+    for cutoff in (80.0, 45.0, 0.0):
+        near = lookup.resembling(t, "t", n, cutoff).collect()
+        ratio = {(i, x): token_set_ratio(x, text) for i, text in enumerate(texts) for x in needles if x and text is not None}
+        assert {(r.i, r.needle): r.ratio for r in near} == {k: v for k, v in ratio.items() if v >= cutoff and v > 0}
+    none = n.filter("needle = 'zz'")
+    assert lookup.containing(t, "t", none).count() == 0 == lookup.resembling(t, "t", none, 80.0).count()
+
+
+def test_lookup_in_rounds(spark, monkeypatch):
+    from graphloom.operators import lookup
+
+    whole = lookup.rounds
+    monkeypatch.setattr(lookup, "rounds", lambda needles: whole(needles, 3))
+    t = spark.createDataFrame([("x1 x2 x3 x4 x5 x6 x7",)], "t string")
+    n = spark.createDataFrame([(f"x{i}",) for i in range(1, 9)], "needle string")
+    assert {r.needle for r in lookup.containing(t, "t", n).collect()} == {f"x{i}" for i in range(1, 8)}
+
+
+def test_drawn_nodes_start_at_the_first_of_each_entity(spark):
+    names = {f"p{i}": f"Camera {i}" for i in range(8)} | {"b": None}
+    n = nodes(spark, [*names], {"b": "brand"}, names)
+    e = edges(spark, [("p0", "b"), ("p1", "b")], "has_brand")
+    asked = spark.createDataFrame([(1, "camera", 1), (1, "CAMERA 7", 2), (1, "ca", 3), (2, "zzz", 1)], "query_id int, entity string, entity_rank int")
+    got = {r.node: r.ord for r in graph.query_nodes(n, graph.adjacency(e), asked).collect()}
+    assert got == {"p0": 1, "b": 2, "p1": 3, "p2": 4, "p3": 5, "p4": 6}

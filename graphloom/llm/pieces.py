@@ -20,10 +20,14 @@ MEMO_BYTES = 64
 CHUNK_BYTES = 16 << 20
 
 
+#: ASCII signs: no rule joins them to the letters before them.
+_SIGNS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
+
+
 def _core(piece: bytes) -> bytes | None:
-    """The word of a piece that is a letters-only word with a comma or a full stop, which are encoded one after the other."""
-    core = piece[:-1]
-    if core and piece[-1] in b",.":
+    """The word of a piece that is a letters-only word with signs behind it, which are encoded one after the other."""
+    core = piece.rstrip(_SIGNS)
+    if core and len(core) < len(piece):
         if core.isalpha():
             return core
         if not core.isascii() and unicodedata.normalize("NFC", core.decode("utf-8", "replace")).lower().isalpha():
@@ -65,7 +69,7 @@ class PieceMemo:
         ids = self.old.get(piece) if self.old else None
         if ids is None:
             core = _core(piece)
-            ids = self.single(piece) if core is None else self.young[core] + self.young[piece[-1:]]
+            ids = self.single(piece) if core is None else self.young[core] + self.young[piece[len(core) :]]
         if len(piece) <= MEMO_BYTES:
             self.young[piece] = ids
         return ids
@@ -84,19 +88,15 @@ class PieceMemo:
             core = _core(w)
             if core is not None:
                 signed.append((w, core))
-                if core not in young:
-                    if core in old:
-                        young[core] = old[core]
-                    else:
-                        new.add(core)
-            else:
-                new.add(w)
-        if signed:
-            new.update(s for s in (b",", b".") if s not in young)
+            for part in (w,) if core is None else (core, w[len(core) :]):
+                if part in old:
+                    young[part] = old[part]
+                elif part not in young:
+                    new.add(part)
         found = list(new)
         young.update(zip(found, self.encode(found)))
         for w, core in signed:
-            young[w] = young[core] + young[w[-1:]]
+            young[w] = young[core] + young[w[len(core) :]]
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text, in order."""
@@ -120,8 +120,10 @@ class PieceMemo:
             yield b"".join(map(get, t.split()))
         for w in missing:
             if len(w) > MEMO_BYTES:
-                young.pop(w, None)
-                young.pop(w[:-1], None)
+                core = w.rstrip(_SIGNS)
+                for part in (w, core, w[len(core) :]):
+                    if len(part) > MEMO_BYTES:
+                        young.pop(part, None)
 
 
 def chunks(rows: Iterable[tuple], size: int = CHUNK_BYTES) -> Iterator[list[tuple]]:

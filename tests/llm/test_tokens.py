@@ -47,6 +47,20 @@ def test_pair_index_agrees_with_the_library(library):
         assert model.decode(np.array(want, np.uint32)).decode() == library.decode(want, skip_special_tokens=False)
 
 
+def test_signs_behind_words_agree_with_the_library(library):
+    model = bpe.PairIndexBpe(open(word_bpe(), encoding="utf-8").read())
+    marks = tuple(m.lower().encode() for m in model.special)
+    memos = [PieceMemo(model.encode_pieces, marks, limit=30), PieceMemo(None, marks, limit=30, single=tokenfile.library_encoder(library.to_str()))]
+    rng = random.Random(7)
+    words = ["word", "été", "Σίσυφος", "x" * 70, "中文", "a1", "", "it's", "<|endoftext|>", "İ"]
+    signs = [".", ",", "'", "***", "###", "%%%", ".&&&", ">", "<|", "'s", "=\u0338", "!" * 70, "“"]
+    texts = [" ".join(rng.choice(words) + "".join(rng.choices(signs, k=rng.randrange(4))) for _ in range(8)) for _ in range(400)]
+    for memo in memos:
+        for text, got in zip(texts, memo.texts([t.encode() for t in texts]), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == ids_of(library, text), text
+        assert all(len(piece) <= 64 for piece in (*memo.young, *memo.old))
+
+
 def test_round_trip_query(spark, library):
     got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.bpe_round_trip(frame(spark), word_bpe()).collect())
     want = []

@@ -76,23 +76,36 @@ def induced_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
     return one.join(m, ["query_id", "node"], "left_semi").select("query_id", "u", "v", "type", "weight")
 
 
-def shortest_paths(members: DataFrame, inside: DataFrame, seeds: DataFrame, max_length: int) -> DataFrame:
-    """(query_id, node, path): a shortest path from a seed to each member inside the induced subgraph.
+def _steps(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(query_id, node, nbr): edges, in either direction, from a left node of a query (query_id, node) to a right one of it.
+
+    As in ``induced_edges`` an edge meets the queries of the end that fewer have.
+    """
+    ends = left.select("query_id", "node", F.lit(True).alias("is_left")).unionByName(right.select("query_id", "node", F.lit(False).alias("is_left")))
+    many = lambda m, node: m.groupBy(F.col("node").alias(node)).agg(F.count(F.lit(1)).alias(f"n_{node}"))
+    ways = edges.select(F.col("u").alias("from"), F.col("v").alias("to")).unionByName(edges.select(F.col("v").alias("from"), F.col("u").alias("to")))
+    both = ways.join(many(left, "from"), "from").join(many(right, "to"), "to").withColumn("is_left", F.col("n_from") <= F.col("n_to"))
+    one = both.withColumn("node", F.when(F.col("is_left"), F.col("from")).otherwise(F.col("to"))).join(ends, ["node", "is_left"])
+    other = one.select("query_id", "from", "to", F.when(F.col("is_left"), F.col("to")).otherwise(F.col("from")).alias("node"), (~F.col("is_left")).alias("is_left"))
+    return other.join(ends, ["query_id", "node", "is_left"], "left_semi").select("query_id", F.col("from").alias("node"), F.col("to").alias("nbr"))
+
+
+def shortest_paths(members: DataFrame, edges: DataFrame, seeds: DataFrame, max_length: int) -> DataFrame:
+    """(query_id, node, path): a shortest path from a seed to each member over edges among the query's members.
 
     Of paths of the same length the one from the earliest seed wins, then the
-    first in order of its nodes. ``inside`` is a result of ``induced_edges``;
-    seeds have (query_id, node, seed_rank). A round extends the paths of the
-    frontier by one edge; ``max_length`` edges at most.
+    first in order of its nodes. Seeds have (query_id, node, seed_rank). A round
+    extends the paths of the frontier to members without one, over the edges
+    between the two alone; ``max_length`` edges at most.
     """
-    both = inside.select("query_id", F.col("u").alias("node"), F.col("v").alias("nbr")).unionByName(inside.select("query_id", F.col("v").alias("node"), F.col("u").alias("nbr")))
-    both = materialize(both, "path-edges")
-    start = seeds.groupBy("query_id", "node").agg(F.min("seed_rank").alias("seed_rank")).join(members.select("query_id", "node"), ["query_id", "node"], "left_semi")
-    found = start.select("query_id", "node", F.struct("seed_rank", F.array("node").alias("path")).alias("way"))
+    own = members.select("query_id", "node").distinct()
+    start = seeds.groupBy("query_id", "node").agg(F.min("seed_rank").alias("seed_rank")).join(own, ["query_id", "node"], "left_semi")
+    found = materialize(start.select("query_id", "node", F.struct("seed_rank", F.array("node").alias("path")).alias("way")), "paths")
     frontier = found
     for _ in range(max_length):
-        longer = frontier.join(both, ["query_id", "node"]).select("query_id", F.col("nbr").alias("node"), F.struct(F.col("way.seed_rank"), F.concat("way.path", F.array("nbr")).alias("path")).alias("way"))
-        best = longer.groupBy("query_id", "node").agg(F.min("way").alias("way"))
-        frontier = materialize(best.join(found.select("query_id", "node"), ["query_id", "node"], "left_anti"), "paths")
+        free = materialize(own.join(found.select("query_id", "node"), ["query_id", "node"], "left_anti"), "path-ends")
+        longer = frontier.join(_steps(edges, frontier, free), ["query_id", "node"]).select("query_id", F.col("nbr").alias("node"), F.struct(F.col("way.seed_rank"), F.concat("way.path", F.array("nbr")).alias("path")).alias("way"))
+        frontier = materialize(longer.groupBy("query_id", "node").agg(F.min("way").alias("way")), "paths")
         found = found.unionByName(frontier)
     return found.select("query_id", "node", F.col("way.path").alias("path"))
 

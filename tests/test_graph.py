@@ -77,7 +77,7 @@ def test_paths(spark):
     e = edges(spark, [("s", "a"), ("a", "t"), ("s", "b"), ("b", "t"), ("t", "u")])
     seeds = spark.createDataFrame([(1, "s", 1)], "query_id int, node string, seed_rank int")
     members = graph.subgraph_nodes(graph.adjacency(e), seeds, 2)
-    paths = graph.shortest_paths(members, graph.induced_edges(e, members), seeds, 2)
+    paths = graph.shortest_paths(members, e, seeds, 2)
     assert {r.node: r.path for r in paths.collect()} == {"s": ["s"], "a": ["s", "a"], "b": ["s", "b"], "t": ["s", "a", "t"]}
     told = graph.describe_paths(paths, nodes(spark, list("sabtu"), names={"s": "S" * 50}), e)
     assert {r.node: r.described for r in told.collect()}["t"] == "S" * 40 + " --[similar_to]--> a --[similar_to]--> t"
@@ -301,3 +301,31 @@ def test_drawn_nodes_start_at_the_first_of_each_entity(spark):
     asked = spark.createDataFrame([(1, "camera", 1), (1, "CAMERA 7", 2), (1, "ca", 3), (2, "zzz", 1)], "query_id int, entity string, entity_rank int")
     got = {r.node: r.ord for r in graph.query_nodes(n, graph.adjacency(e), asked).collect()}
     assert got == {"p0": 1, "b": 2, "p1": 3, "p2": 4, "p3": 5, "p4": 6}
+
+
+def test_paths_match_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    names = [f"n{i:02d}" for i in range(20)]
+    pairs = sorted({tuple(sorted(rng.sample(names, 2))) for _ in range(30)} | {("hub", x) for x in names[:12]} | {("n03", "n03")})
+    e = edges(spark, pairs)
+    members = {(q, x) for q in range(4) for x in ["hub"] * (q != 3) + names if x == "hub" or rng.random() < 0.8}
+    seeds = {(q, x): i for q in range(4) for i, x in enumerate(rng.sample(names, 2), 1)}
+    m = spark.createDataFrame(sorted(members), "query_id int, node string")
+    s = spark.createDataFrame([(q, x, i) for (q, x), i in seeds.items()], "query_id int, node string, seed_rank int")
+    for length in (0, 1, 3):
+        want = {}
+        for q in range(4):
+            found = {x: (i, [x]) for (p, x), i in seeds.items() if p == q and (q, x) in members}
+            front = dict(found)
+            for _ in range(length):
+                new = {}
+                for a, b in [*pairs, *[(b, a) for a, b in pairs]]:
+                    if a in front and (q, b) in members and b not in found:
+                        new[b] = min(new.get(b, (9, [])), (front[a][0], [*front[a][1], b]))
+                front = new
+                found |= new
+            want |= {(q, x): way[1] for x, way in found.items()}
+        got = graph.shortest_paths(m, e, s, length).collect()
+        assert {(r.query_id, r.node): r.path for r in got} == want and len(got) == len(want)

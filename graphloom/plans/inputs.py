@@ -1,7 +1,7 @@
 """The graph over the star schema's tables that registered queries share, and its SQL.
 
 A session builds the graph of a folder once and writes it to shared storage,
-as the stages of a build do; ``fresh`` builds it anew.
+as the stages of a build do.
 """
 
 from __future__ import annotations
@@ -64,12 +64,10 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(items, nodes, edges, graph.adjacency(edges), vectors)
 
 
-def tables(spark: SparkSession, sf_dir: str, fresh: bool = False) -> Tables:
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The built graph, kept for the session until one of its tables changes."""
     key = _key(spark, sf_dir)
-    if fresh or key not in _built:
-        if fresh:
-            _catalogs.pop(key, None)
+    if key not in _built:
         _built[key] = build(spark, sf_dir)
     return _built[key]
 

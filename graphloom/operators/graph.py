@@ -45,21 +45,25 @@ def subgraph_nodes(adj: DataFrame, seeds: DataFrame, hops: int = 1, max_nodes: i
     depth, the number of the node they were first reached from, and place; a
     query stops at ``max_nodes`` (one more if its seeds alone are as many).
     """
-    entries = materialize(first_neighbours(adj, cap).select("node", "nbr", "pos"), "bfs-entries")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "nbr"))), lambda x: x["nbr"])
+    entries = materialize(first_neighbours(adj, cap).groupBy("node").agg(listed.alias("nbrs")), "bfs-entries")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("seed_rank", "node"))
     first = seeds.groupBy("query_id", "node").agg(F.min("seed_rank").alias("seed_rank"))
-    seen = first.select("query_id", "node", F.lit(0).alias("depth"), rank.alias("ord"))
+    seen = materialize(first.select("query_id", "node", F.lit(0).alias("depth"), rank.alias("ord")), "bfs-frontier")
     frontier = seen
+    own = Window.partitionBy("query_id")
     for hop in range(1, hops + 1):
-        near = frontier.select("query_id", "node", "ord").join(entries, "node").groupBy("query_id", F.col("nbr").alias("node")).agg(F.min(F.struct("ord", "pos")).alias("by"))
-        new = near.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti")
-        sizes = seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_seen"))
-        number = F.row_number().over(Window.partitionBy("query_id").orderBy("by", "node"))
-        numbered = new.withColumn("number", number).join(sizes, "query_id")
-        inside = numbered.filter(F.col("number") <= F.greatest(F.lit(max_nodes) - F.col("n_seen"), F.lit(1)))
+        # lists travel to the queries whole; there what a query has seen comes first, under number 0
+        lists = frontier.select("query_id", "node", "ord").join(entries, "node").select("query_id", "ord", "nbrs")
+        known = seen.select("query_id", F.lit(0).alias("ord"), F.array("node").alias("nbrs"))
+        near = lists.unionByName(known).repartition("query_id").select("query_id", "ord", F.posexplode("nbrs").alias("pos", "node"))
+        met = near.groupBy("query_id", "node").agg(F.min(F.struct("ord", "pos")).alias("by"))
+        placed = met.withColumn("n_seen", F.sum(F.when(F.col("by.ord") == 0, 1).otherwise(0)).over(own)).withColumn("ord", F.row_number().over(own.orderBy("by", "node")))
+        new = placed.filter(F.col("by.ord") > 0)
+        inside = new.filter(F.col("ord") <= F.greatest(F.lit(max_nodes), F.col("n_seen") + 1))
         if hop > 1:  # a query that is full has ended
             inside = inside.filter(F.col("n_seen") < max_nodes)
-        frontier = materialize(inside.select("query_id", "node", F.lit(hop).alias("depth"), (F.col("n_seen") + F.col("number")).cast("int").alias("ord")), "bfs-frontier")
+        frontier = materialize(inside.select("query_id", "node", F.lit(hop).alias("depth"), "ord"), "bfs-frontier")
         seen = seen.unionByName(frontier)
     return seen
 

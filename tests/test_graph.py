@@ -358,3 +358,47 @@ def test_knn_tasks_give_no_more_than_they_must():
     out = similarity._pair_top(5)(table, table)
     assert out.num_rows == 300 * 5
     assert set(out.column("to").to_pylist()) == {f"p:{i:03}" for i in range(5)}
+
+
+def _plans(monkeypatch, module):
+    """The plans of what a module materializes."""
+    found, write = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, label: (found.append(df._jdf.queryExecution().executedPlan().toString()), write(df, label))[1])
+    return found
+
+
+def test_neighbourhoods_meet_by_node_alone(spark, monkeypatch):
+    """What a query has seen and what it meets come together once, not by joins keyed by the query."""
+    e = edges(spark, [("p1", "b"), ("p2", "b"), ("p2", "p3"), ("p4", "p3"), ("p3", "p3")], "has_brand")
+    seeds = spark.createDataFrame([(1, "p1", 1), (2, "p4", 1)], "query_id int, node string, seed_rank int")
+    with monkeypatch.context() as m:
+        plans = _plans(m, graph)
+        members = graph.subgraph_nodes(graph.adjacency(e), seeds, 2)
+    joins = [line for p in plans for line in p.split("\n") if "Join" in line]
+    assert joins and not [j for j in joins if "query_id" in j]
+    assert sorted((r.query_id, r.node, r.depth, r.ord) for r in members.collect()) == [(1, "b", 1, 2), (1, "p1", 0, 1), (1, "p2", 2, 3), (2, "p2", 2, 3), (2, "p3", 1, 2), (2, "p4", 0, 1)]
+
+
+def test_a_round_joins_the_edges_of_free_nodes_alone(spark, monkeypatch):
+    from graphloom.operators import communities
+
+    pairs = [(f"n{i:03}", f"n{(i * 7 + 1) % 200:03}", 1.0) for i in range(200)]
+    e = spark.createDataFrame(pairs, "u string, v string, w double")
+    with monkeypatch.context() as m:
+        plans = _plans(m, communities)
+        labels = communities._move(e, 1.0, 2, 5)
+    assert labels.count() == len({x for p in pairs for x in p[:2]}) == labels.select("node").distinct().count()
+    rounds = [p for p in plans if "moved" in p]
+    assert rounds and all(line.index("xxhash64") for p in rounds for line in p.split("\n") if "Filter" in line and "nbr" in line and "NOT (node" in line)
+
+
+def test_edge_lines_join_names_after_the_cut(spark):
+    from graphloom.operators import summaries
+
+    n = nodes(spark, ["p1", "p2", "p3"], {}, {"p1": "One", "p2": "Two", "p3": "Three"})
+    e = edges(spark, [("p1", "p2"), ("p2", "p3")], "similar_to")
+    groups = spark.createDataFrame([(7, "p1"), (7, "p2"), (7, "p3")], "community_id bigint, member string")
+    lines = summaries.edge_lines(n, e, groups)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window ["), "names come above the window in the plan"
+    assert sorted(r.line for r in lines.collect()) == ["- One --[similar_to]--> Two", "- Two --[similar_to]--> Three"]

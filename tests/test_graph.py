@@ -392,6 +392,22 @@ def test_a_round_joins_the_edges_of_free_nodes_alone(spark, monkeypatch):
     assert rounds and all(line.index("xxhash64") for p in rounds for line in p.split("\n") if "Filter" in line and "nbr" in line and "NOT (node" in line)
 
 
+def test_a_bounded_graph_is_moved_in_one_task(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    pairs = {tuple(sorted((i, j))): rng.choice([1.0, 2.0, 0.37]) for i in range(60) for j in [rng.choice([i % 4 + 4 * rng.randrange(15), rng.randrange(60)]) for _ in range(3)]}
+    e = spark.createDataFrame([(f"n{i:02}", f"n{j:02}", w) for (i, j), w in pairs.items()], "u string, v string, w double")
+    every = spark.createDataFrame([(f"n{i:02}",) for i in range(62)], "node string")
+    found = {}
+    for small in (0, 30, communities.SMALL):  # by joins, by joins until the contracted graph is bounded, in a task
+        monkeypatch.setattr(communities, "SMALL", small)
+        found[small] = sorted(map(tuple, communities.partition(every, e, 1.0, levels=2, rounds=2, polish=1).collect()))
+    assert found[0] == found[30] == found[communities.SMALL] and 2 < len({c for _, c in found[0]}) < 40
+    monkeypatch.setattr(communities, "_move", None)
+    assert communities.partition(every, e.filter("w > 9"), 1.0).count() == communities.partition(every, e, 1.0).count() == 62
+
+
 def test_edge_lines_join_names_after_the_cut(spark):
     from graphloom.operators import summaries
 

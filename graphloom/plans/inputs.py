@@ -6,7 +6,7 @@ as the stages of a build do.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +21,41 @@ from graphloom.storage import materialize, stamp
 THRESHOLD = 0.35
 
 
-@dataclass
 class Tables:
-    catalog: DataFrame
-    nodes: DataFrame
-    edges: DataFrame
-    adj: DataFrame
-    embeddings: DataFrame
+    """The graph of a folder; each part is built when it is first read, so nodes and terms don't wait for the search of neighbours."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.catalog = catalog(spark, sf_dir)
+        self.embeddings = embeddings(spark, sf_dir)
+
+    @cached_property
+    def _log(self) -> DataFrame:
+        return materialize(construct.edge_log(self.catalog), "edge-log")
+
+    @cached_property
+    def _products(self) -> DataFrame:
+        return materialize(construct.products(self.catalog), "products")
+
+    @cached_property
+    def _features(self) -> DataFrame:
+        return materialize(features.feature_edges(self._products), "feature-writes")
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """All nodes; similarity writes mention none that isn't there."""
+        terms = self._features.groupBy(F.col("v").alias("node_id")).agg(F.min("seq").alias("node_ord"))
+        null = lambda t, n: F.lit(None).cast(t).alias(n)
+        terms = terms.select("node_id", F.lit("feature").alias("type"), F.expr("substring(node_id, 6)").alias("name"), null("string", "description"), null("string", "price"), null("double", "rating"), "node_ord")
+        return materialize(construct.nodes(self.catalog, self._log).unionByName(terms), "nodes")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        similar = similar_writes(self.catalog, self._products, self.embeddings)
+        return materialize(construct.upsert(self._log.unionByName(self._features).unionByName(similar)), "edges")
+
+    @cached_property
+    def adj(self) -> DataFrame:
+        return graph.adjacency(self.edges)
 
 
 _built: dict[tuple, Tables] = {}
@@ -50,18 +78,7 @@ def similar_writes(catalog: DataFrame, products: DataFrame, vectors: DataFrame)
 
 
 def build(spark: SparkSession, sf_dir: str) -> Tables:
-    items = catalog(spark, sf_dir)
-    log = materialize(construct.edge_log(items), "edge-log")
-    nodes = materialize(construct.nodes(items, log), "nodes")
-    products = materialize(construct.products(items), "products")
-    vectors = embeddings(spark, sf_dir)
-    more = materialize(features.feature_edges(products).unionByName(similar_writes(items, products, vectors)), "more-writes")
-    terms = more.filter("type = 'has_feature'").groupBy(F.col("v").alias("node_id")).agg(F.min("seq").alias("node_ord"))
-    null = lambda t, n: F.lit(None).cast(t).alias(n)
-    terms = terms.select("node_id", F.lit("feature").alias("type"), F.expr("substring(node_id, 6)").alias("name"), null("string", "description"), null("string", "price"), null("double", "rating"), "node_ord")
-    nodes = materialize(nodes.unionByName(terms), "nodes")
-    edges = materialize(construct.upsert(log.unionByName(more)), "edges")
-    return Tables(items, nodes, edges, graph.adjacency(edges), vectors)
+    return Tables(spark, sf_dir)
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:

@@ -418,3 +418,13 @@ def test_edge_lines_join_names_after_the_cut(spark):
     plan = lines._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Window ["), "names come above the window in the plan"
     assert sorted(r.line for r in lines.collect()) == ["- One --[similar_to]--> Two", "- Two --[similar_to]--> Three"]
+
+
+def test_nodes_do_not_wait_for_the_search_of_neighbours(spark, monkeypatch):
+    from graphloom.plans import inputs
+
+    monkeypatch.setattr(similarity, "knn", None)
+    built = inputs.build(spark, "/root/testdata/sf0.001")
+    kinds = {r.type: r["count"] for r in built.nodes.groupBy("type").count().collect()}
+    assert kinds["product"] == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count() and kinds["feature"] > 0
+    assert built.nodes.select("node_id").distinct().count() == sum(kinds.values())

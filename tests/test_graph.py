@@ -428,3 +428,14 @@ def test_nodes_do_not_wait_for_the_search_of_neighbours(spark, monkeypatch):
     kinds = {r.type: r["count"] for r in built.nodes.groupBy("type").count().collect()}
     assert kinds["product"] == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count() and kinds["feature"] > 0
     assert built.nodes.select("node_id").distinct().count() == sum(kinds.values())
+
+
+def test_paths_are_told_as_they_grow(spark):
+    e = edges(spark, [("s", "a"), ("a", "b"), ("s", "c"), ("c", "b"), ("b", "d"), ("s", "s")], "has_brand")
+    n = nodes(spark, ["s", "a", "b", "c"], {}, {"s": "S" * 50, "a": "", "b": None, "c": "Cam"})  # d is no node
+    seeds = spark.createDataFrame([(1, "s", 1), (2, "b", 1), (2, "a", 2)], "query_id int, node string, seed_rank int")
+    members = graph.subgraph_nodes(graph.adjacency(e), seeds, 3)
+    told = graph.shortest_paths(members, e, seeds, 3, n)
+    paths = graph.shortest_paths(members, e, seeds, 3)
+    assert sorted(map(str, told.select("query_id", "node", "path", "described").collect())) == sorted(map(str, graph.describe_paths(paths, n, e).select("query_id", "node", "path", "described").collect()))
+    assert told.count() == 10 and told.filter("described is null").count() == 0

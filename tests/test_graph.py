@@ -439,3 +439,18 @@ def test_paths_are_told_as_they_grow(spark):
     paths = graph.shortest_paths(members, e, seeds, 3)
     assert sorted(map(str, told.select("query_id", "node", "path", "described").collect())) == sorted(map(str, graph.describe_paths(paths, n, e).select("query_id", "node", "path", "described").collect()))
     assert told.count() == 10 and told.filter("described is null").count() == 0
+
+
+def test_only_near_products_are_scored(spark, monkeypatch):
+    e = edges(spark, [("s", f"p{i}") for i in range(4)] + [("p0", "q0"), ("p1", "q1")], "has_brand")
+    ids = ["s", "p0", "p1", "p2", "p3", "q0", "q1"]
+    n = nodes(spark, ids, {"s": "brand"}, {i: f"name {i}" for i in ids})
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
+    entities = spark.createDataFrame([(1, 1, "name s")], "query_id int, entity_rank int, entity string")
+    vectors = spark.createDataFrame([(x, [0.1 * i, 1.0]) for i, x in enumerate(ids)], "id string, embedding array<double>")
+    for limit, expect in ((2, ["p3", "p2"]), (4, ["p3", "p2", "p1", "p0"]), (5, ["p3", "p2", "p1", "p0", "q1"])):
+        with monkeypatch.context() as m:
+            plans = _plans(m, linking)
+            found, _ = linking.multi_hop(asked, n, e, entities, embeddings=vectors, limit=limit, fuzzy=False)
+            assert [r.node for r in found.orderBy("rank").collect()] == expect
+        assert any("nearer" in p and "nearer" in p[p.index("LeftOuter") :] for p in plans), "the cut by distance comes before the vectors"

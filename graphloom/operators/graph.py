@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from graphloom.config import DEFAULTS
 from graphloom.operators.components import connected_components
+from graphloom.operators.induced import induced_edges
 from graphloom.operators.lookup import containing
 from graphloom.storage import materialize
 
@@ -68,22 +69,10 @@ def subgraph_nodes(adj: DataFrame, seeds: DataFrame, hops: int = 1, max_nodes: i
     return seen
 
 
-def induced_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """(query_id, u, v, type, weight): edges with both ends among a query's members (query_id, node)."""
-    m = members.select("query_id", "node").distinct()
-    among = m.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    # an edge meets the queries of the end that fewer have, so a hub of many queries isn't multiplied by its edges
-    both = edges.join(among.select(F.col("node").alias("u"), F.col("n").alias("n_u")), "u").join(among.select(F.col("node").alias("v"), F.col("n").alias("n_v")), "v")
-    first = F.col("n_u") <= F.col("n_v")
-    turned = both.select("u", "v", "type", "weight", F.when(first, F.col("u")).otherwise(F.col("v")).alias("node"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("other"))
-    one = turned.join(m, "node").drop("node").withColumnRenamed("other", "node")
-    return one.join(m, ["query_id", "node"], "left_semi").select("query_id", "u", "v", "type", "weight")
-
-
 def _steps(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(query_id, node, nbr, type): edges, in either direction, from a left node of a query (query_id, node) to a right one of it.
 
-    As in ``induced_edges`` an edge meets the queries of the end that fewer have.
+    An edge meets the queries of the end that fewer have, so a hub of many queries isn't multiplied by its edges.
     """
     ends = left.select("query_id", "node", F.lit(True).alias("is_left")).unionByName(right.select("query_id", "node", F.lit(False).alias("is_left")))
     many = lambda m, node: m.groupBy(F.col("node").alias(node)).agg(F.count(F.lit(1)).alias(f"n_{node}"))
@@ -246,4 +235,4 @@ def drawing(nodes: DataFrame, edges: DataFrame, chosen: DataFrame) -> tuple[Data
     name = F.coalesce(F.when(F.col("name") != "", F.col("name")), F.col("node_id"))
     colour = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TYPE_COLOURS.items() for x in kv]), F.col("type")), F.lit(OTHER_COLOUR))
     shown = own.select("query_id", "node", F.substring(name, 1, LABEL_CHARS).alias("label"), F.concat(F.lit("["), "type", F.lit("] "), name).alias("title"), colour.alias("color"), F.when(F.col("type") == "product", PRODUCT_SIZE).otherwise(OTHER_SIZE).alias("size"))
-    return shown, induced_edges(edges, shown).select("query_id", "u", "v", F.col("type").alias("title"))
+    return shown, induced_edges(edges, shown, ("type",)).select("query_id", "u", "v", F.col("type").alias("title"))

@@ -67,7 +67,7 @@ def subgraph_bfs_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
     members = materialize(graph.subgraph_nodes(t.adj, inputs.seeds(t), 2), "members")
-    return graph.induced_edges(t.edges, members).select("query_id", "u", "v", "type")
+    return graph.induced_edges(t.edges, members, ("type",))
 
 
 @query(f"WITH {GRAPH}, {_BFS}, {INDUCED}, {paths_sql('seed_rows')} SELECT p.query_id, p.node, array_to_string(p.path, '>') AS path, t.described FROM paths p JOIN told t USING (query_id, node)")

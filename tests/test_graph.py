@@ -261,6 +261,50 @@ def test_induced_edges_around_a_hub(spark):
     assert got == sorted((q, u, v) for q in own for u, v in ends if u in own[q] and v in own[q])
 
 
+def test_induced_edges_send_a_node_once_a_bucket(spark):
+    import random
+
+    def sent() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on large tables
+    try:
+        rng = random.Random(3)
+        e = edges(spark, [(f"p{i}", f"p{j}") for i in range(50) for j in range(i)])
+        members = spark.createDataFrame([(q, f"p{i}") for q in range(64) for i in range(50) if rng.random() < 0.9], "query_id int, node string")
+        before = sent()
+        n = graph.induced_edges(e, members).count()
+        assert n == sum(k * (k - 1) // 2 for (k,) in members.groupBy("query_id").count().select("count").collect())
+        after = sent()
+        assert after - before < n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_induced_edges_match_brute_force(spark, monkeypatch):
+    import random
+
+    from graphloom.operators import induced
+
+    rng = random.Random(11)
+    ends = [(rng.choice([None, *map(str, range(30))]), str(min(rng.randrange(30), rng.randrange(30))), rng.choice(["a", "b", None]), rng.choice([None, 0.5, 2.0])) for _ in range(300)]
+    e = spark.createDataFrame(ends, "u string, v string, type string, weight double")
+    named = [(rng.choice([None, *range(40)]), rng.choice([None, *map(str, range(30))])) for _ in range(600)]  # some twice
+    members = spark.createDataFrame(named, "query_id long, node string").repartition(3)
+    own = {(q, n) for q, n in named if q is not None and n is not None}
+    told = sorted(((q, *x) for q in range(40) for x in ends if (q, x[0]) in own and (q, x[1]) in own), key=repr)
+    for queries, hot, pairs in ((256, 1 << 17, 1 << 20), (3, 0, 2), (1, 5, 1), (7, 9, 50)):
+        monkeypatch.setattr(induced, "QUERIES", queries)
+        monkeypatch.setattr(induced, "HOT", hot)
+        monkeypatch.setattr(induced, "PAIRS", pairs)
+        assert sorted(map(tuple, graph.induced_edges(e, members).collect()), key=repr) == told
+    assert graph.induced_edges(e, members.limit(0), ("weight",)).collect() == [] == graph.induced_edges(e.limit(0), members).collect()
+
+
 def test_lookup_matches_brute_force(spark):
     import random
 

@@ -23,7 +23,8 @@ def terms(docs: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)\w\w+"), F.lit(0))
     kept = F.filter(words, lambda w: ~w.isin(list(stop_words)))
     pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    one = docs.select("node_id", kept.alias("w"))
+    # texts go to their node; all that follows stays there
+    one = docs.select("node_id", "text").repartition("node_id").select("node_id", kept.alias("w"))
     flat = one.select("node_id", F.explode(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("term"))
     return flat.groupBy("node_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 

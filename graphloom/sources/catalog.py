@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom import schema
 from graphloom.config import DEFAULTS
@@ -23,8 +24,6 @@ def most_reviewed(catalog: DataFrame, n: int = DEFAULTS.top_products) -> DataFra
 
 def sample_reviews(reviews: DataFrame, per_product: int = 3) -> DataFrame:
     """At most ``per_product`` reviews of each product, in the order of review_ord."""
-    from pyspark.sql.window import Window
-
     rank = F.row_number().over(Window.partitionBy("parent_asin").orderBy("review_ord"))
     return reviews.withColumn("_rank", rank).filter(F.col("_rank") <= per_product).drop("_rank")
 
@@ -39,15 +38,20 @@ def from_star_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalog of ``part``: nations as category paths, line items as ratings and baskets.
 
     Parts on neighbouring lines of an order were bought together (twice at
-    least); parts two lines on were also bought. Both are equi-joins on (order, line), so
-    no basket is expanded into all its pairs.
+    least); parts two lines on were also bought. Lines go to their order once, where
+    frames over line numbers see both, so no basket is expanded into all its pairs.
     """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     lines = read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
 
+    by_line = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    baskets = lines.filter("l_orderkey is not null and l_linenumber is not null")
+    on = lambda step: F.collect_list(F.struct("l_partkey")).over(by_line.rangeBetween(step, step))
+    baskets = baskets.select("l_partkey", on(1).alias("on_1"), on(2).alias("on_2"))
+
     def followed(step: int, least: int, name: str) -> DataFrame:
-        later = lines.select("l_orderkey", (F.col("l_linenumber") - step).alias("l_linenumber"), F.col("l_partkey").alias("other"))
-        pairs = lines.join(later, ["l_orderkey", "l_linenumber"]).groupBy("l_partkey", "other").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+        later = baskets.select("l_partkey", F.explode(f"on_{step}").alias("on")).select("l_partkey", F.col("on.l_partkey").alias("other"))
+        pairs = later.groupBy("l_partkey", "other").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
         ordered = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "other")))
         return pairs.groupBy("l_partkey").agg(F.transform(ordered, lambda x: F.concat(F.lit("p:"), x["other"].cast("string"))).alias(name))
 
